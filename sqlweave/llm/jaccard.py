@@ -7,7 +7,8 @@ join finds texts whose sets have a Jaccard similarity of at least 0.8:
 2. Candidates agree in all ROWS values of one of BANDS bands; a pair at 0.8 is missed with odds (1 - 0.8^6)^40 < 1e-5.
    Members of small buckets meet in pairs. In large ones each member meets the bucket's first node, verified links
    merge nodes into classes, and then members outside the bucket's largest class meet the members of other classes
-   whose sizes allow 0.8. So pairs within a group of near copies are never built, and no link between classes is lost.
+   whose sizes allow 0.8. So pairs within a group of near copies are never built, and no link between classes is lost;
+   within a class that large buckets have joined, links are a spanning set of it rather than all of its pairs.
 3. Pruning: the MinHash values of a pair are compared CHUNK at a time; it is dropped once the posterior probability
    (uniform prior) that its similarity reaches 0.8 falls below TOLERANCE.
 4. What is left is verified exactly on the shingles themselves, and classes are the connected components of the links.
@@ -24,6 +25,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 SMALL = 12  # members of a bucket that are paired outright
 CHUNK, TOLERANCE = 24, 1e-6
+PART = 256  # members of a large bucket that are compared in one piece
 
 
 def shingles(text: str | None) -> set[str]:
@@ -71,7 +74,7 @@ class Signer:
         return h
 
     def hashes(self, words: list[str]) -> np.ndarray:
-        """Distinct 32-bit hashes of the shingles."""
+        """Distinct 64-bit hashes of the shingles."""
         h = np.fromiter(map(self._word, words), np.uint64, len(words))
         n = max(len(words) - WORDS + 1, 1)
         mixed = np.zeros(n, np.uint64)
@@ -79,13 +82,14 @@ class Signer:
             mixed += h[j : j + n] * self.place[j]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+        return np.unique(mixed)
 
     def sign(self, hashes: np.ndarray) -> np.ndarray:
         """The low half of each minimum, after blocks that fit the processor's cache."""
         low = np.full(HASHES, np.uint32(0xFFFFFFFF))
-        for i in range(0, len(hashes), 512):
-            part = hashes[i : i + 512]
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(short), 512):
+            part = short[i : i + 512]
             np.minimum(low, (self.a[:, None] * part + self.b[:, None]).min(1), out=low)
         return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
@@ -111,6 +115,14 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["doc_id", "tk", "node", "size", "sig"])
 
 
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """nid, text -> nid, MinHash values, all shingle hashes."""
+    s = Signer()
+    for batch in batches:
+        found = [s.hashes((t or "").lower().split()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([s.sign(h).tobytes() for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["nid", "sig", "hashes"])
+
+
 def least_matches() -> list[tuple[int, int]]:
     """(values compared, matches below which the posterior P(similarity >= 0.8) < TOLERANCE), for each chunk.
 
@@ -175,6 +187,61 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("nid", "label")
 
 
+def _apart(outside: DataFrame, inside: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) that join different classes of a bucket.
+
+    Both sides are cut into parts of about PART rows. A part of one meets each part of the other in Python: MinHash
+    values are compared and pruned as matrices, what is left is compared on all shingle hashes, and a link becomes a
+    row only if it joins what the piece has not joined yet. So a piece gives fewer rows than it has members, whatever
+    the number of similar pairs; the caller verifies the links on the texts."""
+    keys = ["bucket", "near"]
+    out_n = outside.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("po"))
+    in_n = inside.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("pi"))
+    parts = out_n.join(in_n, keys)
+    own = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = outside.join(parts, keys).select(*keys, own("po").alias("o"), every("pi").alias("i"), "nid", "size", "label").join(full, "nid")
+    right = inside.join(parts, keys).select(*keys, every("po").alias("o"), own("pi").alias("i"), "nid", "size", "label", "main").join(full, "nid")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.rename(columns=lambda c: c.removesuffix("_y"))
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        (nid_x, size_x, label_x), (nid_y, size_y, label_y) = ((t["nid"].to_numpy(), t["size"].to_numpy(), t["label"].to_numpy()) for t in (x, y))
+        fits = (5 * np.minimum.outer(size_x, size_y) >= 4 * np.maximum.outer(size_x, size_y)) & (label_x[:, None] != label_y[None, :])
+        fits &= y["main"].to_numpy(bool)[None, :] | (nid_x[:, None] < nid_y[None, :])
+        i, j = np.nonzero(fits)
+        mx, my = (np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(-1, HASHES) for t in (x, y))
+        got, at = np.zeros(len(i), np.int32), 0
+        for n, least in least_matches():
+            got = got + (mx[i, at:n] == my[j, at:n]).sum(1, dtype=np.int32)
+            keep = got >= least
+            i, j, got, at = i[keep], j[keep], got[keep], n
+        hx, hy = ([np.frombuffer(h, np.uint64) for h in t["hashes"]] for t in (x, y))
+        parent: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                k = parent[k]
+            return k
+
+        out = []
+        for k in np.argsort(-got, kind="stable"):
+            a, b = i[k], j[k]
+            ra, rb = find(int(label_x[a])), find(int(label_y[b]))
+            if ra != rb:
+                both = len(np.intersect1d(hx[a], hy[b], assume_unique=True))
+                if 5 * both >= 4 * (len(hx[a]) + len(hy[b]) - both):
+                    parent[ra] = rb
+                    out.append((min(nid_x[a], nid_y[b]), max(nid_x[a], nid_y[b])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    group = [*keys, "o", "i"]
+    names = {c: f"{c}_y" for c in right.columns}  # both sides stem from one table
+    right = right.toDF(*names.values())
+    return left.groupBy(*group).cogroup(right.groupBy(*[names[k] for k in group])).applyInPandas(meet, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, tk, nid), links (a, b) between nodes and labels (nid, label) of linked nodes."""
     read = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tk"), "text")
@@ -187,14 +254,16 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         one, two = sig.toDF("a", "sa"), sig.toDF("b", "sb")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long")
 
-    # one text for each node that is left in a pair; equal texts are combined before the shuffle
+    def texts_of(nids: DataFrame) -> DataFrame:
+        """One text for each of some nodes; equal texts are combined before the shuffle."""
+        texts = read.groupBy("tk").agg(F.first("text").alias("text"))
+        return nids.distinct().join(nodes.select("nid", "tk"), "nid").join(texts, "tk").select("nid", "text")
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "jaccard-pairs")
         if pairs.isEmpty():
             return pairs
-        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct().join(nodes.select("nid", "tk"), "nid")
-        texts = read.groupBy("tk").agg(F.first("text").alias("text"))
-        texts = stage(ends.join(texts, "tk").select("nid", "text"), "jaccard-texts")
+        texts = stage(texts_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))), "jaccard-texts")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return stage(both.repartition("a").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long"), "jaccard-links")
 
@@ -218,10 +287,9 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     step = F.floor(F.log(F.col("size")) / math.log(1 / THRESHOLD)).cast("int")
     open_ = named.join(main, "bucket").withColumn("step", step)
     outside = open_.where("label != main").withColumn("near", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    inside = open_.select("bucket", F.col("nid").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), F.col("label") == F.col("main"), F.col("step").alias("near")).toDF("bucket", "b", "size_b", "label_b", "in_main", "near")
-    rest = outside.join(inside, ["bucket", "near"]).where("label != label_b and (in_main or nid < b) and 5 * least(size, size_b) >= 4 * greatest(size, size_b)")
-    rest = rest.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
-    more = verify(prune(rest))
+    inside = open_.withColumn("near", F.col("step")).withColumn("main", F.col("label") == F.col("main"))
+    full = stage(texts_of(open_.select("nid")).mapInArrow(_hashed, "nid long, sig binary, hashes binary"), "jaccard-hashes")
+    more = verify(_apart(outside.select("bucket", "near", "nid", "size", "label"), inside.select("bucket", "near", "nid", "size", "label", "main"), full))
     if not more.isEmpty():
         links = stage(links.union(more).distinct(), "jaccard-links")
         labels = components(links)
