@@ -2,14 +2,15 @@
 
 1. Rows of equal vectors are one node; its members keep their ids, so thousands of equal vectors cost one node.
 2. The graph starts from blocks of nodes that random hyperplanes put together (several draws), each node keeping its
-   DEGREE best of the block. NN-descent then joins neighbours of neighbours: a node's neighbours, forward and reverse,
-   at most JOIN of each and at least one of them new, meet in a local join, and pairs that beat a node's worst
-   neighbour become its neighbours. It stops when few lists change.
+   DEGREE best of the block. NN-descent then joins neighbours of neighbours: a node's best neighbours (JOIN old, twice as
+   many new) and JOIN of the nodes that have it as a neighbour meet in a local join, where at least one of a pair is
+   new, and pairs that beat a node's worst neighbour become its neighbours. It stops when few lists change.
 3. A query starts at its own node and searches the graph greedily: the best unexpanded nodes of its beam are expanded
    by a join with the graph, until no beam has an unexpanded node within its best, or for HOPS rounds.
 4. The beam's nodes are scored again in double precision on the original vectors, and their members ranked.
 
-Every row is indexed. Vectors travel as scaled float16 while the graph is built; results never depend on them alone.
+Every row is indexed. Vectors travel as bytes with a scale while the graph is built and searched; the answers' order and
+scores come from the original vectors.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows of
 another length than the most common one; ties go to the smaller vec_id; rows that repeat a vec_id count as separate
@@ -19,6 +20,8 @@ table gives an empty result; only vec_id and embedding are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from .shared import stage, table
 
 EVERY, TOP = 20, 20
-DEGREE, JOIN, ROUNDS = 32, 12, 6
+DEGREE, JOIN, ROUNDS = 48, 24, 7
 BLOCK, DRAWS = 256, 4
-BEAM, EXPAND, HOPS = 48, 10, 4
+BEAM, EXPAND, HOPS = 64, 16, 3
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -38,86 +41,115 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").where(good)
 
 
-def _packed(scale: float):
-    """float16 bytes of an array column, scaled by the largest component."""
-
-    @F.pandas_udf("binary")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(r) / scale).astype(np.float16).tobytes() for r in rows])
-
-    return run
+def _pack(rows: pd.Series) -> pd.Series:
+    """A vector as its scale (float32) and bytes of its components (int8): 1/8 of the size, errors of 1/250 of its
+    largest component."""
+    out = []
+    for r in rows:
+        v = np.asarray(r, float)
+        scale = np.float32(max(np.abs(v).max(), 1e-30) / 127)
+        out.append(scale.tobytes() + np.rint(v / float(scale)).clip(-127, 127).astype(np.int8).tobytes())
+    return pd.Series(out)
 
 
 def _matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32)
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
 def _best(df: DataFrame, degree: int) -> DataFrame:
-    """The `degree` best neighbours of each node, out of (node, other, score, fresh) rows; old entries win over new."""
-    one = df.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+    """The `degree` best neighbours of each node, out of (node, other, score, fresh) rows; old entries win over new.
+
+    One shuffle by node serves the removal of double pairs, the ranking, and each list's worst score."""
+    one = df.repartition("node").groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("node").orderBy(F.desc("score"), "other")
-    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree).drop("r")
+    kept = one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree)
+    whole = Window.partitionBy("node")
+    full = F.when(F.count("*").over(whole) >= degree, F.min("score").over(whole))
+    return kept.withColumn("worst", F.coalesce(full, F.lit(float("-inf")).cast("float")))
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: list[str], run) -> Iterator[pd.DataFrame]:
+    """Runs over the groups of batches that are sorted by key; a group may reach over batches."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        k = pdf[key].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
+        got = [run(pdf.iloc[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+        rest = pdf.iloc[cuts[-1] :]
+        if got := [g for g in got if g is not None]:
+            yield _pairs(got)
+    if rest is not None and not rest.empty and (last := run(rest)) is not None:
+        yield _pairs([last])
 
 
-def _block_pairs(nodes: DataFrame, n: int, width: int, seed: int, degree: int) -> DataFrame:
-    """Neighbours within blocks of about BLOCK nodes that share the signs on random hyperplanes.
+def _pairs(parts: list[tuple]) -> pd.DataFrame:
+    node, other, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return pd.DataFrame({"node": node.astype("int64"), "other": other.astype("int64"), "score": score.astype("float32"), "fresh": np.ones(len(node), bool)})
+
+
+SCHEMA = "node long, other long, score float, fresh boolean"
+
+
+def _block_pairs(nodes: DataFrame, n: int, width: int, degree: int, draws: int) -> DataFrame:
+    """Neighbours within blocks of about BLOCK nodes that share the signs on random hyperplanes, for several draws.
 
     Bits grow with the number of nodes; a block that is still large is dealt by hash into parts of bounded size."""
     bits = max(int(np.ceil(np.log2(max(n, 1) / BLOCK))), 0)
-    planes = np.random.default_rng(seed).normal(size=(max(bits, 1), width))
+    planes = [np.random.default_rng(100 + d).normal(size=(max(bits, 1), width)) for d in range(draws)]
 
-    @F.pandas_udf("long")
-    def code(blobs: pd.Series) -> pd.Series:
-        signs = _matrix(blobs.tolist()) @ planes.T > 0
-        return pd.Series((signs[:, :bits] * (1 << np.arange(bits))).sum(1).astype("int64") if bits else np.zeros(len(blobs), "int64"))
+    @F.pandas_udf("array<long>")
+    def codes(blobs: pd.Series) -> pd.Series:
+        m, power = _matrix(blobs.tolist()), 1 << np.arange(bits)
+        cols = [((m @ p.T > 0)[:, :bits] * power).sum(1) * draws + d if bits else np.full(len(m), d) for d, p in enumerate(planes)]
+        return pd.Series(list(np.stack(cols, 1).astype("int64")))
 
-    coded = nodes.withColumn("block", code("vec"))
+    coded = nodes.select("nid", "vec", F.explode(codes("vec")).alias("block"))
     parts = coded.groupBy("block").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
-    coded = coded.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("nid", F.lit(seed)), F.col("parts")))
+    coded = coded.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("nid", "block"), F.col("parts")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame):
         m, ids = _matrix(pdf["vec"].tolist()), pdf["nid"].to_numpy()
         s = m @ m.T
         np.fill_diagonal(s, -np.inf)
         k = min(degree, len(ids) - 1)
         if k < 1:
-            return pd.DataFrame({"node": [], "other": [], "score": [], "fresh": []}).astype({"node": "int64", "other": "int64", "score": "float32", "fresh": "bool"})
+            return None
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"node": np.repeat(ids, k), "other": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel(), "fresh": True})
+        return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
 
-    return coded.groupBy("block", "part").applyInPandas(run, "node long, other long, score float, fresh boolean")
+    dealt = coded.select("block", "part", "nid", "vec").repartition("block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInPandas(lambda it: _groups(it, ["block", "part"], run), SCHEMA)
 
 
-def _local_join(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one node's neighbours, one of them new, that beat the worst neighbour of either."""
-    m, ids, worst, fresh = _matrix(pdf["vec"].tolist()), pdf["nid"].to_numpy(), pdf["worst"].to_numpy(), pdf["fresh"].to_numpy(bool)
+def _local_join(pdf: pd.DataFrame):
+    """Pairs of one node's neighbours, one of them new, that beat the worst neighbour of the first."""
+    fresh = pdf["fresh"].to_numpy(bool)
+    if not fresh.any():
+        return None
+    m, ids, worst = _matrix(pdf["vec"].tolist()), pdf["nid"].to_numpy(), pdf["worst"].to_numpy()
     s = m @ m.T
-    useful = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & (s > worst[:, None])
-    a, b = np.nonzero(useful)
-    return pd.DataFrame({"node": ids[a], "other": ids[b], "score": s[a, b].astype("float32"), "fresh": np.ones(len(a), bool)})
+    a, b = np.nonzero((fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & (s > worst[:, None]))
+    return (ids[a], ids[b], s[a, b]) if len(a) else None
 
 
 def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """(node, other, score): the neighbour graph of nodes (nid, vec)."""
-    pairs = _block_pairs(nodes, n, width, 100, degree)
-    for draw in range(1, DRAWS):
-        pairs = pairs.unionByName(_block_pairs(nodes, n, width, 100 + draw, degree))
-    graph = stage(_best(pairs, degree), "ann-graph")
+    graph = stage(_best(_block_pairs(nodes, n, width, degree, DRAWS), degree), "ann-graph")
+    offers = (F.col("fresh") & (F.col("r") <= 2 * JOIN)) | (F.col("r") <= JOIN)
     for turn in range(rounds):
-        worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
-        # each node offers its best JOIN new and JOIN old neighbours; reverse lists are dealt by a hash that changes with the turn
-        rank = lambda by: F.row_number().over(Window.partitionBy("centre", "fresh").orderBy(by, "nid"))
-        ahead = graph.select(F.col("node").alias("centre"), F.col("other").alias("nid"), "fresh", (-F.col("score")).alias("o")).withColumn("r", rank(F.col("o")))
-        offered = ahead.where(F.col("r") <= JOIN).select("centre", "nid", "fresh")
-        back = offered.select(F.col("nid").alias("centre"), F.col("centre").alias("nid"), "fresh").withColumn("r", rank(F.xxhash64("nid", F.lit(turn)))).where(F.col("r") <= JOIN).select("centre", "nid", "fresh")
-        met = offered.unionByName(back).groupBy("centre", "nid").agg(F.max("fresh").alias("fresh"))
-        alive = met.groupBy("centre").agg(F.max("fresh").alias("any")).where("any").select("centre")
-        filled = met.join(alive, "centre").join(nodes, "nid").join(worst, F.col("nid") == F.col("node")).select("centre", "nid", "vec", "worst", "fresh")
-        found = filled.groupBy("centre").applyInPandas(_local_join, "node long, other long, score float, fresh boolean")
+        ahead = graph.where(offers).select(F.col("node").alias("centre"), F.col("other").alias("nid"), "fresh")
+        # reverse lists are cut by a hash that changes with the turn, before and after the shuffle
+        w = Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("nid", F.lit(turn)))
+        back = ahead.select(F.col("nid").alias("centre"), F.col("centre").alias("nid"), "fresh").withColumn("r", F.row_number().over(w)).where(F.col("r") <= JOIN).drop("r")
+        known = graph.where("r = 1").select(F.col("node").alias("nid"), "worst")
+        met = ahead.unionByName(back).join(known, "nid").join(nodes, "nid").select("centre", "nid", "vec", "worst", "fresh")
+        found = met.repartition("centre").sortWithinPartitions("centre").mapInPandas(lambda it: _groups(it, ["centre"], _local_join), SCHEMA)
         # entries that took part are old from now on
-        used = offered.where("fresh").select(F.col("centre").alias("node"), F.col("nid").alias("other"), F.lit(True).alias("used"))
-        kept = graph.join(used, ["node", "other"], "left").select("node", "other", "score", (F.col("fresh") & F.col("used").isNull()).alias("fresh"))
-        found = found.groupBy("node", "other").agg(F.max("score").alias("score"), F.max("fresh").alias("fresh"))
+        kept = graph.select("node", "other", "score", (F.col("fresh") & ~offers).alias("fresh"))
         graph = stage(_best(kept.unionByName(found), degree), "ann-graph")
         if graph.where("fresh").count() < 0.02 * degree * n:
             break
@@ -135,8 +167,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     width = width["w"] if width else 1
     rows = stage(rows.where(F.size("embedding") == width).withColumn("vk", F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"))), "ann-rows")
     distinct = stage(rows.groupBy("vk").agg(F.first("embedding").alias("embedding")).withColumn("nid", F.monotonically_increasing_id()), "ann-distinct")
-    n, scale = distinct.agg(F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
-    nodes = stage(distinct.select("nid", _packed(scale or 1.0)("embedding").alias("vec")), "ann-nodes")
+    n = distinct.count()
+    nodes = stage(distinct.select("nid", F.pandas_udf(_pack, "binary")("embedding").alias("vec")), "ann-nodes")
     graph = build_graph(nodes, n, width)
 
     member = stage(rows.select("vec_id", "vk").join(distinct.select("vk", "nid"), "vk").select("vec_id", "nid"), "ann-members")
@@ -147,22 +179,26 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series((_matrix(a.tolist()) * _matrix(b.tolist())).sum(1) if len(a) else np.zeros(0, np.float32))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(qvec, "q").join(nodes, "nid")
-        return full.select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
-
-    beam = stage(scored(qvec.select("q", F.col("q").alias("nid"))), "ann-beam")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "nid")
-    todo = Window.partitionBy("q", "done").orderBy(F.desc("score"), "nid")
+    def settled(rows: DataFrame) -> DataFrame:
+        """The BEAM best nodes of each query; the EXPAND best that were not expanded yet are to go."""
+        rows = rows.repartition("q").groupBy("q", "nid").agg(F.max("score").alias("score"), F.max("done").alias("done"))
+        best, todo = Window.partitionBy("q").orderBy(F.desc("score"), "nid"), Window.partitionBy("q", "done").orderBy(F.desc("score"), "nid")
+        rows = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).withColumn("t", F.row_number().over(todo))
+        return rows.select("q", "nid", "score", "done", ((~F.col("done")) & (F.col("t") <= EXPAND)).alias("go"))
+
+    edges = graph.select(F.col("node").alias("nid"), F.col("other"), F.col("score").alias("edge"))
+    start = qvec.select("q", F.col("q").alias("nid")).join(nodes, "nid")
+    start = start.join(qvec, "q").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
+    beam = stage(settled(start), "ann-beam")
     for _ in range(HOPS):
-        ranked = beam.withColumn("t", F.row_number().over(todo)).withColumn("go", (~F.col("done")) & (F.col("t") <= EXPAND))
-        ranked = stage(ranked.select("q", "nid", "score", "done", "go"), "ann-beam")
-        go = ranked.where("go").select("q", F.col("nid").alias("node"))
+        go = beam.where("go").select("q", "nid")
         if go.isEmpty():
             break
-        found = go.join(graph, "node").select("q", F.col("other").alias("nid")).distinct().join(ranked.select("q", "nid"), ["q", "nid"], "left_anti")
-        both = ranked.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(scored(found))
-        beam = stage(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
+        found = go.join(edges, "nid").select("q", F.col("other").alias("nid"), F.lit(False).alias("old"))
+        # nodes that the beam has, and double finds, are left out before vectors are fetched
+        new = found.unionByName(beam.select("q", "nid", F.lit(True).alias("old"))).repartition("q").groupBy("q", "nid").agg(F.max("old").alias("old")).where("not old").drop("old")
+        new = new.join(qvec, "q").join(nodes, "nid").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
+        beam = stage(settled(beam.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(new)), "ann-beam")
 
     exact = F.pandas_udf(_exact, "double")
     e1, e2 = distinct.select(F.col("nid").alias("q"), F.col("embedding").alias("e1")), distinct.select("nid", F.col("embedding").alias("e2"))
