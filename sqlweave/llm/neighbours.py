@@ -32,7 +32,7 @@ from .shared import stage, table
 EVERY, TOP = 20, 20
 DEGREE, JOIN, ROUNDS = 48, 24, 7
 BLOCK, DRAWS = 256, 4
-BEAM, EXPAND, HOPS = 64, 16, 3
+BEAM, EXPAND, HOPS = 128, 40, 3
 
 
 def valid(vectors: DataFrame) -> DataFrame:
