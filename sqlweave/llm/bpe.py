@@ -32,97 +32,122 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
-class PairTree:
-    """Minimum tree over positions: `best()` is the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: list[int]):
-        self.size = 1
-        while self.size < len(ranks):
-            self.size *= 2
-        self.low = [NONE] * self.size + ranks + [NONE] * (self.size - len(ranks))
-        for i in range(self.size - 1, 0, -1):
-            a, b = self.low[2 * i], self.low[2 * i + 1]
-            self.low[i] = a if a <= b else b
-
-    def best(self) -> int:
-        low, i = self.low, 1
-        root = low[1]
-        if root == NONE:
-            return -1
-        while i < self.size:
+def merge(ids: list[int], ranks: dict[int, int]) -> list[int]:
+    """All merges of a word, each the leftmost of the lowest rank, through a minimum tree over adjacent pairs.
+
+    ranks: left id * 65536 + right id -> rank * 65536 + merged id, so a node holds the rank and what comes of it. The
+    root is the next merge; going down to the left child wherever it equals the root finds its leftmost place. A merge
+    changes three leaves, and a change stops climbing where a node keeps its value."""
+    n = len(ids)
+    if n < 2:
+        return ids
+    get = ranks.get
+    size = 1 << (n - 2).bit_length()
+    low = [NONE] * size + [get(a << 16 | b, NONE) for a, b in zip(ids, ids[1:])] + [NONE] * (size - n + 1)
+    for i in range(size - 1, 0, -1):
+        a, b = low[2 * i], low[2 * i + 1]
+        low[i] = a if a <= b else b
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    while (root := low[1]) != NONE:
+        i = 1
+        while i < size:
             i *= 2
             if low[i] != root:
                 i += 1
-        return i - self.size
-
-    def put(self, at: int, rank: int) -> None:
-        low, i = self.low, at + self.size
-        low[i] = rank
-        while i > 1:
-            i //= 2
-            a, b = low[2 * i], low[2 * i + 1]
-            low[i] = a if a <= b else b
+        i -= size
+        j = after[i]
+        ids[i], ids[j] = root & 0xFFFF, -1
+        k, h = after[j], before[i]
+        after[i] = k
+        if k >= 0:
+            before[k] = i
+            changes = [(i, get(ids[i] << 16 | ids[k], NONE)), (j, NONE)]
+        else:
+            changes = [(i, NONE)]
+        if h >= 0:
+            changes.append((h, get(ids[h] << 16 | ids[i], NONE)))
+        for at, rank in changes:
+            at += size
+            low[at] = rank
+            while at > 1:
+                at >>= 1
+                a, b = low[2 * at], low[2 * at + 1]
+                if b < a:
+                    a = b
+                if low[at] == a:
+                    break
+                low[at] = a
+    return [i for i in ids if i >= 0]
 
 
 class BpeCodec:
     """A vocabulary file of the tokenizers library (byte letters, word-end suffix, no decoder)."""
 
-    def __init__(self, path: str, cached_words: int = 150_000):
+    def __init__(self, path: str, cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(self.vocab) > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        end = model.get("end_of_word_suffix") or ""
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << 16 | self.vocab[b]] = rank << 16 | self.vocab[a + b]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.digits = [str(i) for i in range(len(self.names))]
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.marks = tuple({t[:2] for t in self.added})
         pieces = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(pieces[0])
-        self.letters = _byte_letters()
-        self.cached_words, self.cache = cached_words, {}
+        # a byte's id inside a word and at its end; symbols that the vocabulary lacks are dropped, as without unk
+        letters = _byte_letters()
+        self.inside = [self.vocab.get(letters[b], -1) for b in range(256)]
+        self.final = [self.vocab.get(letters[b] + end, -1) for b in range(256)]
+        # two generations each: what was used since the last turnover outlives the next one
+        self.cached, self.chunks, self.old_chunks, self.known, self.old_known = cached, {}, {}, {}, {}
 
     def merge_word(self, word: str) -> list[int]:
-        """Ids of one pre-token; symbols that the vocabulary lacks are dropped, as the library does without unk."""
-        symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        ids = [i for s in symbols if (i := self.vocab.get(s)) is not None]
-        n = len(ids)
-        if n < 2:
-            return ids
-        merges, after, before = self.merges, [*range(1, n), -1], [*range(-1, n - 1)]
-        rank = lambda a, b: merges[a, b][0] if (a, b) in merges else NONE
-        tree = PairTree([rank(ids[i], ids[i + 1]) for i in range(n - 1)])
-        while (i := tree.best()) >= 0:
-            j = after[i]
-            ids[i] = merges[ids[i], ids[j]][1]
-            ids[j] = -1
-            k = after[j]
-            after[i] = k
-            if k >= 0:
-                before[k] = i
-            tree.put(i, rank(ids[i], ids[k]) if k >= 0 else NONE)
-            if j < n - 1:
-                tree.put(j, NONE)
-            if (h := before[i]) >= 0:
-                tree.put(h, rank(ids[h], ids[i]))
-        return [i for i in ids if i >= 0]
+        """Ids of one pre-token."""
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [self.inside[b] for b in raw[:-1]] + [self.final[raw[-1]]]
+        return merge([i for i in ids if i >= 0] if -1 in ids else ids, self.ranks)
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.old_known.get(word)
+            if ids is None:
+                ids = self.merge_word(word)
+            if len(word) <= 64:
+                if len(self.known) >= self.cached:
+                    self.old_known, self.known = self.known, {}
+                self.known[word] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> list[int]:
         """Ids of a stretch without white space: added tokens come first, then normalising, then words."""
+        if any(m in chunk for m in self.marks):
+            parts = self.split_added.split(chunk)
+        else:
+            parts = (chunk,)
         out: list[int] = []
-        for part in self.split_added.split(chunk):
+        for part in parts:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for word in self.words.findall(text):
-                    out += self.merge_word(word)
+                text = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                text = text.lower()
+                if text.isalpha():
+                    if len(parts) == 1:
+                        return self._word(text)
+                    out += self._word(text)
+                else:
+                    for word in self.words.findall(text):
+                        out += self._word(word)
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -131,15 +156,18 @@ class BpeCodec:
         # str.split also cuts at 1C-1F, which are no white space to the tokenizer
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         out: list[int] = []
-        cache = self.cache
+        chunks = self.chunks
         for chunk in regex.split(r"[^\S\x1c-\x1f]+", text) if odd else text.split():
-            ids = cache.get(chunk)
+            ids = chunks.get(chunk)
             if ids is None:
-                ids = self._chunk(chunk)
+                ids = self.old_chunks.get(chunk)
+                if ids is None:
+                    ids = self._chunk(chunk)
                 if len(chunk) <= 64:
-                    if len(cache) >= self.cached_words:
-                        cache.clear()
-                    cache[chunk] = ids
+                    if len(chunks) >= self.cached:
+                        self.old_chunks, self.chunks = chunks, {}
+                        chunks = self.chunks
+                    chunks[chunk] = ids
             out += ids
         return out
 

@@ -54,14 +54,25 @@ def test_bpe_is_the_library(spark, sf01, odd, none):
     assert back.startswith("n") and bpe.bpe_digests(none, path).count() == 0
 
 
-def test_pair_tree_gives_leftmost_lowest():
-    tree = bpe.PairTree([5, 3, 9, 3, 7])
-    assert tree.best() == 1
-    tree.put(1, bpe.NONE)
-    assert tree.best() == 3
-    for i in (0, 2, 3, 4):
-        tree.put(i, bpe.NONE)
-    assert tree.best() == -1
+def test_merges_are_leftmost_lowest():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        ranks, new = {}, 10
+        for rank in range(40):
+            a, b = draw.randrange(new), draw.randrange(new)
+            if a << 16 | b not in ranks:
+                ranks[a << 16 | b] = rank << 16 | new
+                new += 1
+        ids = [draw.randrange(10) for _ in range(draw.randrange(1, 40))]
+        want = list(ids)
+        while True:
+            best = min(((ranks[a << 16 | b], i) for i, (a, b) in enumerate(zip(want, want[1:])) if a << 16 | b in ranks), default=None)
+            if best is None:
+                break
+            want[best[1] : best[1] + 2] = [best[0] & 0xFFFF]
+        assert bpe.merge(list(ids), ranks) == want
 
 
 def brute_groups(rows):
