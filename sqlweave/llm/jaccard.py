@@ -7,11 +7,14 @@ join finds texts whose sets have a Jaccard similarity of at least 0.8:
 2. Candidates agree in all ROWS values of one of BANDS bands; a pair at 0.8 is missed with odds (1 - 0.8^6)^40 < 1e-5.
    Members of small buckets meet in pairs. In large ones each member meets the bucket's first node, verified links
    merge nodes into classes, and then members outside the bucket's largest class meet the members of other classes
-   whose sizes allow 0.8. So pairs within a group of near copies are never built, and no link between classes is lost;
+   whose sizes allow 0.8. So pairs within a group of near copies never become rows, and no link between classes is lost;
    within a class that large buckets have joined, links are a spanning set of it rather than all of its pairs.
 3. Pruning: the MinHash values of a pair are compared CHUNK at a time; it is dropped once the posterior probability
    (uniform prior) that its similarity reaches 0.8 falls below TOLERANCE.
 4. What is left is verified exactly on the shingles themselves, and classes are the connected components of the links.
+5. n_links counts all texts at 0.8 or more from a text. Each of them is in its class, so the nodes of a class with a
+   member of a large bucket are compared with each other in pieces of PART x PART, exactly on their shingles, and a
+   piece gives a number for each of its nodes. In other classes the links of small buckets are all there are.
 
 Defined cases: null and empty texts have no words: each is a class of its own without links; a text below five words
 is one shingle; repeated rows and copies share a class; class_id is the smallest doc_id of the class (null only if no
@@ -37,7 +40,8 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 SMALL = 12  # members of a bucket that are paired outright
 CHUNK, TOLERANCE = 24, 1e-6
-PART = 256  # members of a large bucket that are compared in one piece
+PART = 256  # members of a large bucket or class that are compared in one piece
+COLUMNS = 4096  # shingles that are counted at once
 
 
 def shingles(text: str | None) -> set[str]:
@@ -242,8 +246,61 @@ def _apart(outside: DataFrame, inside: DataFrame, full: DataFrame) -> DataFrame:
     return left.groupBy(*group).cogroup(right.groupBy(*[names[k] for k in group])).applyInPandas(meet, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, tk, nid), links (a, b) between nodes and labels (nid, label) of linked nodes."""
+def _shared(ids: list[np.ndarray], width: int, n: int) -> np.ndarray:
+    """Common shingles of each of the first n rows with each of the rest. ids: each row's shingles, as sorted numbers below width."""
+    out = np.zeros((n, len(ids) - n), np.int64)
+    for at in range(0, width, COLUMNS):
+        m = np.zeros((len(ids), COLUMNS), np.float32)
+        for row, v in enumerate(ids):
+            lo, hi = np.searchsorted(v, (at, at + COLUMNS))
+            m[row, v[lo:hi] - at] = 1
+        out += (m[:n] @ m[n:].T).astype(np.int64)
+    return out
+
+
+def _count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by label, o, i -> (nid, n): links of a node within one piece. A piece may reach over batches."""
+
+    def run(key: tuple, nids: list[int], parts: list[int], texts: list[str]) -> pd.DataFrame:
+        number: dict[str, int] = {}
+        ids = [np.sort(np.fromiter((number.setdefault(x, len(number)) for x in own), np.int64, len(own))) for own in map(shingles, texts)]
+        size, nid, part = np.array([len(v) for v in ids]), np.array(nids), np.array(parts)
+        x, y = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+        both = _shared([ids[k] for k in (*x, *y)], len(number), len(x))
+        linked = 5 * both >= 4 * (size[x][:, None] + size[y][None, :] - both)  # exactly 0.8 counts
+        if key[1] == key[2]:
+            np.fill_diagonal(linked, False)
+            return pd.DataFrame({"nid": nid[x], "n": linked.sum(1)})
+        return pd.DataFrame({"nid": np.concatenate([nid[x], nid[y]]), "n": np.concatenate([linked.sum(1), linked.sum(0)])})
+
+    last, piece = None, ([], [], [])
+    for pdf in batches:
+        for label, o, i, *row in zip(*(pdf[c].tolist() for c in ("label", "o", "i", "nid", "part", "text"))):
+            if last != (label, o, i):
+                if last is not None:
+                    yield run(last, *piece)
+                last, piece = (label, o, i), ([], [], [])
+            for values, v in zip(piece, row):
+                values.append(v)
+    if last is not None:
+        yield run(last, *piece)
+
+
+def _degrees(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(nid, n_links): for each of nodes (nid, label) the nodes of its label at 0.8 or more. texts: nid, text.
+
+    A label's nodes are cut into parts of about PART, and each two parts, or one with itself, are a piece."""
+    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = nodes.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pieces = own.select("label", "nid", "part", other.alias("other")).select("label", F.least("part", "other").alias("o"), F.greatest("part", "other").alias("i"), "nid", "part")
+    dealt = pieces.join(texts, "nid").repartition("label", "o", "i").sortWithinPartitions("label", "o", "i")
+    return dealt.mapInPandas(_count, "nid long, n long").groupBy("nid").agg(F.sum("n").alias("n_links"))
+
+
+def similar(docs: DataFrame, count: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, tk, nid), degrees (nid, n_links) and labels (nid, label) of linked nodes. Without count, n_links is
+    only above 0 where a node has links."""
     read = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tk"), "text")
     signed = stage(read.mapInArrow(_sign, read.schema["doc_id"].name + " " + read.schema["doc_id"].dataType.simpleString() + ", tk string, node binary, size int, sig binary"), "jaccard-rows")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.min("tk").alias("tk"))
@@ -294,14 +351,20 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links = stage(links.union(more).distinct(), "jaccard-links")
         labels = components(links)
     rows = signed.select("doc_id", "tk", "node").join(nodes.select("node", "nid"), "node", "left").select("doc_id", "tk", "nid")
-    return rows, links, labels
+    degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("n_links"))
+    if count:
+        large = labels.join(many.select("nid").distinct(), "nid").select("label").distinct()
+        inner = stage(labels.join(large, "label").select("nid", "label"), "jaccard-inner")
+        counted = _degrees(inner, stage(texts_of(inner.select("nid")), "jaccard-inner-texts"))
+        degree = stage(degree.join(inner, "nid", "left_anti").union(counted), "jaccard-degrees")
+    return rows, degree, labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, count: bool = True) -> DataFrame:
     """doc_id, tk, class_id, n_links, stays: one row per row of docs. n_links counts the verified links of the row's
-    text with other texts; `stays` marks the text and id that represent a class."""
-    rows, links, labels = similar(docs)
-    degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("n_links"))
+    text with other texts (without count, only whether there are any); `stays` marks the text and id that represent a
+    class."""
+    rows, degree, labels = similar(docs, count)
     rows = rows.join(labels, "nid", "left").join(degree, "nid", "left")
     # a text without words is a class of its own row
     label = F.when(F.col("nid").isNotNull(), F.coalesce("label", "nid"))
@@ -315,7 +378,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that represent their class; of wholly equal (doc_id, text) rows with words one stays."""
     own = lambda tk: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tk)
-    kept = classes(docs).where("stays").groupBy(own(F.col("tk")).alias("_own")).agg(F.count("*").alias("_n"), F.max((F.col("class_size") > 1) | (F.col("n_links") > 0)).alias("_g"))
+    kept = classes(docs, count=False).where("stays").groupBy(own(F.col("tk")).alias("_own")).agg(F.count("*").alias("_n"), F.max((F.col("class_size") > 1) | (F.col("n_links") > 0)).alias("_g"))
     rows = docs.withColumn("_own", own(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(kept, "_own")
     place = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
     return rows.withColumn("_i", place).where("not _g or _i = 1").select(*docs.columns)

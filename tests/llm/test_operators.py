@@ -298,6 +298,23 @@ def test_jaccard(spark, sf01, odd, none):
     assert jaccard.classes(none).count() == 0
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Families above the size at which buckets are no longer paired outright, in one piece and in many."""
+    draw = [f"w{i}" for i in range(500)]
+    rows = [(k, " ".join([*draw[: 5 * k], f"edit{k}", *draw[5 * k + 1 :]])) for k in range(100)]
+    drift = [f"d{i}" for i in range(200)]  # texts that are links of a chain: near ones are similar, far ones are not
+    rows += [(200 + k, " ".join(drift[2 * k : 2 * k + 100])) for k in range(40)]
+    rows += [(300, rows[0][1]), (301, "of its own " * 9), (302, "a pair of words that is not in any large bucket at all"), (303, "a pair of words that is not in any large bucket at all but")]
+    sets = [(i, jaccard.shingles(t)) for i, t in rows]
+    texts = {t: s for (_, s), (_, t) in zip(sets, rows)}
+    want = {i: sum(5 * len(s & o) >= 4 * len(s | o) for t, o in texts.items() if t != own) for (i, s), (_, own) in zip(sets, rows)}
+    assert want[0] == want[300] == 99 and want[301] == 0 and want[302] == 1 and len({want[200 + k] for k in range(40)}) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (jaccard.PART, 16):
+        monkeypatch.setattr(jaccard, "PART", part)
+        assert {r.doc_id: r.n_links for r in jaccard.classes(docs).collect()} == want
+
+
 def test_bayesian_bounds():
     bounds = dict(jaccard.least_matches())
     assert bounds[jaccard.HASHES] < 0.8 * jaccard.HASHES and all(m <= n for n, m in bounds.items())
