@@ -6,7 +6,7 @@
    many new) and JOIN of the nodes that have it as a neighbour meet in a local join, where at least one of a pair is
    new, and pairs that beat a node's worst neighbour become its neighbours. It stops when few lists change.
 3. A query starts at its own node and searches the graph greedily: the best unexpanded nodes of its beam are expanded
-   by a join with the graph, until no beam has an unexpanded node within its best, or for HOPS rounds.
+   by a join with the graph, until no beam has an unexpanded node.
 4. The beam's nodes are scored again in double precision on the original vectors, and their members ranked.
 
 Every row is indexed. Vectors travel as bytes with a scale while the graph is built and searched; the answers' order and
@@ -32,7 +32,7 @@ from .shared import stage, table
 EVERY, TOP = 20, 20
 DEGREE, JOIN, ROUNDS = 48, 24, 7
 BLOCK, DRAWS = 256, 4
-BEAM, EXPAND, HOPS = 128, 40, 3
+BEAM, EXPAND = 128, 40
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     start = qvec.select("q", F.col("q").alias("nid")).join(nodes, "nid")
     start = start.join(qvec, "q").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
     beam = stage(settled(start), "ann-beam")
-    for _ in range(HOPS):
+    while True:  # ends: a beam's worst score only rises, and a node is expanded once while it is in the beam
         go = beam.where("go").select("q", "nid")
         if go.isEmpty():
             break

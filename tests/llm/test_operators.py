@@ -343,3 +343,20 @@ def test_neighbours(spark, sf001):
     assert neighbours.search(df.limit(0)).count() == 0
     small = [r for r in neighbours.search(df.where("vec_id in (0, 5, 7)")).collect()]
     assert [r.vec_id for r in small if r.query_id == 0] and len(small) == 2
+
+
+def test_neighbours_search_goes_on(spark, monkeypatch):
+    """On a ring where a node only knows the next four, the far side is eight rounds away."""
+    import numpy as np
+
+    draw, n = np.random.default_rng(3), 30
+    m = draw.normal(size=(n, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").coalesce(1)
+
+    def ring(nodes, *_):
+        ids = sorted(r.nid for r in nodes.select("nid").collect())
+        return spark.createDataFrame([(a, ids[(k + j) % len(ids)], 0.0) for k, a in enumerate(ids) for j in range(1, 5)], "node long, other long, score float")
+
+    monkeypatch.setattr(neighbours, "build_graph", ring)
+    got = [(r.query_id, r.vec_id) for r in neighbours.search(df).orderBy("query_id", "rank").collect()]
+    assert got == [(q, i) for q in (0, 20) for i in sorted(set(range(n)) - {q}, key=lambda i: -float(m[q] @ m[i]))[:20]]
