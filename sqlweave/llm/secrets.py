@@ -2,23 +2,25 @@
 
 Base kinds (always reported) are assign, access and hex. The method adds weak candidates: short access identifiers
 (`ident`), short secrets (`weak`) and endpoints (`endpoint`). Alone they are noise; they are reported only where
-complementary parts meet in a scope. Scopes are overlapping intervals of 2 * SCOPE code points, one every SCOPE, so any
-two parts at most SCOPE apart share one. The interval join of parts and scopes runs inside each row, on arrays: a part
-falls into at most a few scopes, the scopes of each role are intersected as sets, and a weak part stays if one of its
-scopes is complete. Nothing is shuffled, so no key can be hot, and no pairs of parts are built.
+complementary parts meet in scope, that is, where at most SCOPE code points lie between the two spans, wherever in the
+text they are. The interval join is a sweep: parts of a text become rows, sorted by place; the furthest end among the
+parts before and the nearest start among those after tell whether a complement is in scope, so its cost is that of the
+sort and no pairs of parts are built. Only places travel, never text, and a text's parts are one group, whose size the
+text bounds.
 
   ident     reported where a secret (assign, hex or weak) is in scope
   weak      reported where an identifier (access or ident) is in scope
   endpoint  reported where both an identifier and a secret are in scope
 
 Defined cases: null text counts as empty, giving zero counts, the digest of '' and empty spans; texts are scanned
-whole; overlapping spans of different kinds are all reported; repeated rows give equal results; only doc_id and text
-are read, so other columns may have any name.
+whole, in time linear in their length; overlapping spans of different kinds are all reported, and are in scope of each
+other; repeated rows, and rows that repeat a doc_id, are scanned apart; an empty table gives an empty result; only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -31,64 +33,63 @@ HEX = r"[0-9a-f]{16,}"  # a run is taken whole, so this finds what [0-9a-f]+ of
 IDENT = r"""(?i)(?:access_?key(?:_?id)?|client_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
 ENDPOINT = r"(?i)https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b(?:host|endpoint)\x20*[:=]\x20*[A-Za-z0-9.-]{4,}"
 VALUE = r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-ORDER = {"assign": 0, "access": 1, "hex": 2, "ident": 3, "weak": 4, "endpoint": 5}
+KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
+BASE, IDENTIFIERS, SECRETS = KINDS[:3], ("access", "ident"), ("assign", "hex", "weak")
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<start, order, kind, stop, value>> of the leftmost non-overlapping matches, in code points.
+def matches(text: Column, pattern: str, source: int, kind: Column) -> Column:
+    """array<struct<source, i, gap, size, kind>> of the leftmost non-overlapping matches: the code points between a
+    match and the one before it, and its own. kind: from the matched text, as `hit`; null where it is to be dropped.
 
-    split() gives the stretches between matches and regexp_extract_all() the matches: running sums of their lengths
-    place them. Rows without a match skip both.
+    split() gives the stretches between matches and regexp_extract_all() the matches; running sums of both place them.
+    Rows without a match skip both.
     """
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,order:int,kind:string,stop:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["hit"])
-        one = F.struct(a.alias("start"), F.lit(ORDER[kind]).alias("order"), F.lit(kind).alias("kind"), b.alias("stop"), x["hit"].alias("value"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    gaps = F.slice(between, F.lit(1), F.size(found))
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr("cast(array() as array<struct<start:int,order:int,kind:string,stop:int,value:string>>)"))
-
-
-def _scopes(spans: Column) -> Column:
-    """Set of the scopes that spans fall into: from the one before the start's to the end's."""
-    own = F.transform(spans, lambda s: F.sequence(F.floor(s["start"] / SCOPE).cast("int") - 1, F.floor((s["stop"] - 1) / SCOPE).cast("int")))
-    return F.array_distinct(F.flatten(own))
-
-
-def _in(scopes: Column):
-    return lambda s: F.exists(F.sequence(F.floor(s["start"] / SCOPE).cast("int") - 1, F.floor((s["stop"] - 1) / SCOPE).cast("int")), lambda k: F.array_contains(scopes, k))
-
-
-def _said(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
-
-
-def _named(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER[kind]).alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id with arrays of spans: assign, access, hex (base) and linked (added by the method)."""
+    between = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), F.lit(1), F.size(found))
+    each = lambda x, i: F.struct(F.lit(source).alias("source"), i.alias("i"), x["gap"].alias("gap"), F.length(x["hit"]).alias("size"), kind(x["hit"]).alias("kind"))
+    spans = F.transform(F.arrays_zip(between.alias("gap"), found.alias("hit")), each)
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr("cast(array() as array<struct<source:int,i:int,gap:int,size:int,kind:string>>)"))
+
+
+def parts(text: Column) -> Column:
+    """All parts of a text, dropped ones too, as places of later matches build on them."""
+    value = lambda hit: F.length(F.regexp_extract(hit, VALUE, 1))
+    sources = (
+        (ASSIGN, lambda hit: F.when(value(hit) >= 12, "assign").when(value(hit) >= 4, "weak")),
+        (ACCESS, lambda hit: F.when(F.length(hit) >= 18, "access").otherwise("ident")),
+        (HEX, lambda hit: F.lit("hex")),
+        (IDENT, lambda hit: F.lit("ident")),
+        (ENDPOINT, lambda hit: F.lit("endpoint")),
+    )
+    return F.concat(*[matches(text, pattern, i, kind) for i, (pattern, kind) in enumerate(sources)])
+
+
+def linked(spans: DataFrame, scope: int = SCOPE) -> Column:
+    """Whether a part of spans (row_id, start, stop, kind) is to be reported."""
+    here = Window.partitionBy("row_id")
+    before = here.orderBy("start", "source").rowsBetween(Window.unboundedPreceding, -1)
+    after = here.orderBy(F.desc("start"), F.desc("source")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def near(kinds: tuple) -> Column:
+        end = F.max(F.when(F.col("kind").isin(*kinds), F.col("stop"))).over(before)
+        start = F.min(F.when(F.col("kind").isin(*kinds), F.col("start"))).over(after)
+        return F.coalesce(F.col("start") - end <= scope, F.lit(False)) | F.coalesce(start - F.col("stop") <= scope, F.lit(False))
+
+    identifier, secret = near(IDENTIFIERS), near(SECRETS)
+    return F.when(F.col("kind") == "ident", secret).when(F.col("kind") == "weak", identifier).when(F.col("kind") == "endpoint", identifier & secret).otherwise(F.col("kind").isNotNull())
+
+
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """One row per row of docs: doc_id and spans, array<struct<start, rank, kind, stop>> in order of start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    length = lambda s: F.length(F.regexp_extract(s["value"], VALUE, 1))
-    df = docs.select("doc_id", text.alias("_t"))
-    df = df.select("doc_id", matches(F.col("_t"), ASSIGN, "assign").alias("a"), matches(F.col("_t"), ACCESS, "access").alias("k"), matches(F.col("_t"), HEX, "hex").alias("hex"), matches(F.col("_t"), IDENT, "ident").alias("ident"), matches(F.col("_t"), ENDPOINT, "endpoint").alias("endpoint"))
-    df = df.select(
-        "doc_id", "hex", "endpoint",
-        F.filter("a", lambda s: length(s) >= 12).alias("assign"), _named(F.filter("a", lambda s: (length(s) >= 4) & (length(s) < 12)), "weak").alias("weak"),
-        F.filter("k", lambda s: F.length(s["value"]) >= 18).alias("access"), F.concat(F.col("ident"), _named(F.filter("k", lambda s: F.length(s["value"]) < 18), "ident")).alias("ident"),
-    )
-    df = df.withColumn("ids", _scopes(F.concat("access", "ident"))).withColumn("keys", _scopes(F.concat("assign", "hex", "weak")))
-    df = df.withColumn("both", F.array_intersect("ids", "keys"))
-    linked = F.concat(F.filter("ident", _in(F.col("keys"))), F.filter("weak", _in(F.col("ids"))), F.filter("endpoint", _in(F.col("both"))))
-    return df.select("doc_id", "assign", "access", "hex", linked.alias("linked"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("_t"))
+    rows = rows.select("row_id", "doc_id", F.explode_outer(parts(F.col("_t"))).alias("p")).select("row_id", "doc_id", "p.*")
+    # one exchange, by row, serves all windows and the final grouping
+    along = Window.partitionBy("row_id", "source").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.repartition("row_id").withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(along).cast("int")).withColumn("start", F.col("stop") - F.col("size"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    span = F.when(linked(placed, scope), F.struct("start", rank.alias("rank"), "kind", "stop"))
+    return placed.select("row_id", "doc_id", span.alias("span")).groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("span")).alias("spans")).drop("row_id")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    s = scan(docs)
-    base = F.concat("assign", "access", "hex")
-    count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return s.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.concat(base, F.col("linked"))).alias("spans"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return scan(docs).select("doc_id", *map(count, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
