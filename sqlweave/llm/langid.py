@@ -1,11 +1,13 @@
 """Operator 5: language ID by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Training is follow-the-regularised-leader (proximal, per coordinate) with an elastic net, then temperature calibration
-on rows that training did not see. Features are TF-IDF shares of hashed character n-grams, so that a text's logits are
+on rows that training did not see. Document frequencies are counted over all rows that may be learned from, in one
+Spark aggregation of one array a task; weights are fitted on a bounded sample of them (`sample` rows, dealt out evenly
+to the languages, so that a rare one is not lost). Features are TF-IDF shares of hashed character n-grams, so that a text's logits are
 sums over its n-grams divided by the sum of their weights: one vectorised pass, linear in the text's length.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; very long texts are scored whole; repeated
-rows score alike; ties between languages go to the smaller name; with no labelled row every text is `und`; only
+Defined cases: a text that is null or has no letter is `und` with score 0; very long texts are scored whole, in
+blocks of BLOCK characters; repeated rows score alike; ties between languages go to the smaller name; with no labelled row every text is `und`; only
 doc_id, text and (for training) lang are read, so other columns may have any name.
 """
 
@@ -13,15 +15,18 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fold, table
 
+BLOCK = 1 << 16
 
 @dataclass
 class LanguageModel:
@@ -36,29 +41,35 @@ class LanguageModel:
     weights: np.ndarray | None = None
     table: np.ndarray | None = field(default=None, repr=False)
 
-    def grams(self, text: str) -> np.ndarray:
-        """Hashed n-grams of 1 to `longest` characters of the whole text, in lower case, white space as one kind."""
-        c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).copy()
-        c[c < 33] = 32
-        parts, h = [], c
-        for n in range(1, self.longest + 1):
-            if n > 1:
-                h = h[: len(c) - n + 1] * np.uint32(31337) + c[n - 1 :]
-            parts.append(((h + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - self.bits))
-        return np.concatenate(parts).astype(np.intp)
+    def grams(self, text: str) -> Iterator[np.ndarray]:
+        """Hashed n-grams of 1 to `longest` characters of the whole text, in lower case, white space as one kind, in
+        blocks: an n-gram belongs to the block of its first character."""
+        whole = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+        for i in range(0, len(whole), BLOCK):
+            c = whole[i : i + BLOCK + self.longest - 1].copy()
+            c[c < 33] = 32
+            parts, h, own = [], c, min(BLOCK, len(whole) - i)
+            for n in range(1, self.longest + 1):
+                if n > 1:
+                    h = h[: max(len(c) - n + 1, 0)] * np.uint32(31337) + c[n - 1 :]
+                parts.append(((h[:own] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - self.bits))
+            yield np.concatenate(parts).astype(np.intp)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of a text and their counts."""
-        return np.unique(self.grams(text), return_counts=True) if text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not text:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = sum((np.bincount(g, minlength=1 << self.bits) for g in self.grams(text)), np.zeros(1 << self.bits, np.int64))
+        found = np.flatnonzero(total)
+        return found, total[found]
 
     def logits(self, text: str) -> np.ndarray:
         """Sums over n-grams in one pass: their TF-IDF weights, and those times the weights of each language."""
         if self.table is None:
             self.table = np.concatenate([self.idf[:, None], self.idf[:, None] * self.weights], axis=1).astype(np.float32)
         total = np.zeros(1 + len(self.languages))
-        g = self.grams(text)
-        for i in range(0, len(g), 65536):
-            total += self.table.take(g[i : i + 65536], axis=0).sum(0, dtype=np.float64)
+        for g in self.grams(text):
+            total += self.table.take(g, axis=0).sum(0, dtype=np.float64)
         return self.scale * total[1:] / max(total[0], 1e-12)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -71,14 +82,21 @@ class LanguageModel:
         return self.languages[k], float(p[k])
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
-    """rows: language, distinct n-grams, counts. Every fifth row is set aside for the temperature."""
+def inverse(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray | None = None, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
+    """rows: language, distinct n-grams, counts; idf: of all texts, else that of rows. Every fifth row is set aside for
+    the temperature."""
     m = LanguageModel(languages=sorted({r[0] for r in rows}))
     size, k = 1 << m.bits, len(m.languages)
-    df = np.zeros(size)
-    for _, g, _ in rows:
-        df[g] += 1
-    m.idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if idf is None:
+        df = np.zeros(size)
+        for _, g, _ in rows:
+            df[g] += 1
+        idf = inverse(len(rows), df)
+    m.idf = idf
     z, n, w = np.zeros((size, k)), np.zeros((size, k)), np.zeros((size, k))
     code = {x: i for i, x in enumerate(m.languages)}
 
@@ -126,10 +144,34 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha
     return m
 
 
+def frequencies(texts: DataFrame, bits: int = LanguageModel.bits) -> tuple[int, np.ndarray]:
+    """Number of texts, and for each hashed n-gram the number of texts that have it. Each task gives one number a hash
+    at most, whatever its texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, last, n = LanguageModel(bits=bits), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
+        for batch in batches:
+            for t in batch.column("text"):
+                n += 1
+                for g in own.grams(t.as_py()):
+                    last[g] = n
+                total += last == n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *total[at]], pa.int64())], names=["gram", "n"])
+
+    df = np.zeros((1 << bits) + 1, np.int64)
+    for r in texts.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # 2**bits + 1 rows
+        df[r["gram"]] = r["n"]  # the number of texts is at the end, as gram -1
+    return int(df[-1]), df[:-1]
+
+
 def fit_languages(docs: DataFrame, sample: int = 2500) -> LanguageModel:
-    """Learn from text and lang of rows outside the held-out fold; `sample` bounds the rows that reach the driver."""
+    """Learn from text and lang of rows outside the held-out fold; `sample` bounds the rows whose n-grams reach the
+    driver: those of the smallest hash of each language in turn."""
     labelled = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = labelled.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h")).orderBy("h", "doc_id", "lang").limit(sample).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # ranks beyond the bound are cut before the shuffle
+    chosen = labelled.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h")).withColumn("turn", turn).where(F.col("turn") <= sample)
+    chosen = chosen.orderBy("turn", "h", "doc_id", "lang").limit(sample).select("doc_id", "lang", "h").distinct()
     texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most `sample` rows
 
     @F.pandas_udf("g binary, c binary")
@@ -140,7 +182,7 @@ def fit_languages(docs: DataFrame, sample: int = 2500) -> LanguageModel:
 
     rows = texts.select("doc_id", "h", "lang", counts("text").alias("f")).select("doc_id", "h", "lang", "f.g", "f.c").orderBy("h", "doc_id", "lang").limit(sample)
     read = lambda b: np.frombuffer(bytes(b), np.int32).astype(np.int64)
-    return train([(r.lang, read(r.g), read(r.c)) for r in rows.collect()])
+    return train([(r.lang, read(r.g), read(r.c)) for r in rows.collect()], inverse(*frequencies(labelled)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
