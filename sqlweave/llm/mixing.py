@@ -1,12 +1,15 @@
 """Operator 7: mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source has the same fractional number of copies, target / size of the source. Its whole part is
-taken for certain; the fractions are rounded in pairs: words are moved at random from one partner to the other, in
-either direction with the odds that keep every expectation, until one of the two is integral. Within a block, the
-largest open document is paired with all smaller ones together, which hold one fraction in common, so that what stays
-fractional in the end is a small document. Blocks of a source are rounded apart and their residuals paired in a
-reduction tree of fan-in FAN, so a hot source is many blocks; the sum of words is kept exactly but for the last
-residual of a source. Draws come from a hash of ids and a seed, so reruns agree.
+taken for certain; the fractions are rounded in pairs of documents: words are moved at random from one partner to the
+other, in either direction with the odds that keep both expectations, until one of the two is integral; the other goes
+on to the next. Within a block documents are met in falling order of size: partners are then of like size, so the one
+that goes on is either the smaller or all but integral, and what stays fractional in the end is small. That needs partners of
+like size, which a document of more than 1/HEAVY of its block lacks (in a source of a few thousand documents or less):
+such a document comes first, and its partner is all that follow, which still have one fraction in common, provided that
+they can take in its mass and stay fractional; else it waits for the pairs. Blocks of a source are rounded apart and their residuals paired in a reduction
+tree of fan-in FAN, so a hot source is many blocks; the sum of words is kept exactly but for the last residual of a
+source, one document, which is rounded with its own odds. Draws come from a hash of ids and a seed, so reruns agree.
 
 Defined cases: null text has size 0 and takes 0 words; sources are ordered by code point, null last (a source of its
 own); ties in size are ordered by hash and doc_id; repeated rows are separate documents; a source of size 0 has target
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import stage, table
 
 WEIGHTS, MOST = (5, 2, 1), 3
-BLOCK, FAN = 4096, 64
+BLOCK, FAN, HEAVY = 4096, 64, 100
 
 
 def word_count(text: str = "text"):
@@ -86,25 +89,23 @@ def pivot(keys: list[int], sizes: list[int], parts: list[float], seed: int) -> t
 
 
 def pivot_block(keys: list[int], sizes: list[int], part: float, seed: int) -> tuple[list[float], int]:
-    """Round documents (falling sizes) that share one fraction: each in turn is paired with all that follow it."""
-    n, tiny, rest, x = len(sizes), 1e-9, sum(sizes), part
-    out = [0.0] * n
-    for a in range(n):
-        rest -= sizes[a]
-        if not tiny < x < 1 - tiny:
-            out[a:] = [float(round(x))] * (n - a)
-            return out, -1
-        if not rest:
-            out[a] = x
-            return out, a
-        up, down = min((1 - x) * sizes[a], x * rest), min(x * sizes[a], (1 - x) * rest)
-        move = up if _draw(seed, keys[a], keys[a + 1]) * (up + down) < down else -down
-        own, x = x + move / sizes[a], x - move / rest
-        if tiny < own < 1 - tiny:  # then all that follow are integral
-            out[a], out[a + 1 :] = own, [float(round(x))] * (n - a - 1)
-            return out, a
-        out[a] = float(round(own))
-    return out, -1
+    """Round documents (falling sizes) that share one fraction: heavy ones against all that follow, the others in pairs."""
+    total, x, out = sum(sizes), part, {}
+    rest = total
+    for a, s in enumerate(sizes):
+        if s * HEAVY <= total:
+            break
+        rest -= s
+        up, down = (1 - x) * s, x * s  # words that it takes from the others, or gives to them
+        if up < 0.999 * x * rest and down < 0.999 * (1 - x) * rest:
+            took = _draw(seed, keys[a], a) < x
+            out[a], x = (1.0, x - up / rest) if took else (0.0, x + down / rest)
+        else:
+            rest += s  # it stays among those that follow
+    open_ = [i for i in range(len(sizes)) if i not in out]
+    got, left = pivot([keys[i] for i in open_], [sizes[i] for i in open_], [x] * len(open_), seed)
+    out |= dict(zip(open_, got))
+    return [out[i] for i in range(len(sizes))], open_[left] if left >= 0 else -1
 
 
 def round_copies(items: DataFrame, seed: int = 17) -> DataFrame:
@@ -122,7 +123,7 @@ def round_copies(items: DataFrame, seed: int = 17) -> DataFrame:
     done, leaf = None, True
     blocks = items.agg((F.max("block") + 1).alias("n")).first()["n"] or 1
     while True:
-        got = stage(level(items, leaf), "mix-level")
+        got = stage(level(items, leaf), "mix-level", narrow=True)
         leaf = False
         settled = got.where("not still").select("row_id", "part")
         done = settled if done is None else done.unionByName(settled)
@@ -140,8 +141,8 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """row_id, doc_id, source, digest, size, source_size, target, copies, taken: one row per row of docs."""
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count().alias("size"), digest.alias("digest"))
-    rows = stage(rows, "mix-sizes")
-    targets = stage(source_targets(rows), "mix-targets")
+    rows = stage(rows, "mix-sizes", narrow=True)
+    targets = stage(source_targets(rows), "mix-targets", narrow=True)
     # one row a source: joined by AQE as its size allows; rows of a hot source are split by skew join
     t = targets.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "_s")
     j = rows.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = 4
+
 
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; a temporary folder stands in only where it is unset and the master is local[*]."""
@@ -21,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back; a lost executor costs no recomputation."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; a lost executor costs no recomputation.
+
+    narrow: rows of a few numbers, no texts. They are written by FILES tasks a core of the cluster at most, so that small
+    tables between steps do not become a file for each shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sqlweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
