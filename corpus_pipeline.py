@@ -11,28 +11,33 @@ from pyspark.sql import functions as F
 from sqlweave.llm import bpe, dedup, jaccard, langid, mixing
 from sqlweave.llm.shared import stage, table
 
-#: Texts whose calibrated probability is below this are not in any of the known languages.
-SURE = 0.5
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language stay; `und` ones (null text, no letter) go, and all of them where no row has a
+    language to learn from. Repeated rows share one fate; an empty table stays empty."""
     scored = langid.predict(docs, langid.fit_languages(docs))
-    return scored.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= SURE)).select(*docs.columns)
+    return scored.where(F.col("_lang.lang_pred") != "und").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without blanks the longest stays, then the one of the smallest doc_id, null last; null
+    counts as empty; of wholly equal rows one stays."""
     return dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of texts linked at 0.8 the row of the smallest doc_id stays, null last; texts without words are
+    classes of their own."""
     return jaccard.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, 0 to 3 times; null sources are one source; texts without words are never
+    taken."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each row; null text has none; repeated rows have repeated results."""
     import public_tokenizers
 
     return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
