@@ -86,10 +86,10 @@ def brute_groups(rows):
     return groups
 
 
-@pytest.mark.parametrize("bits", [64, 2])
-def test_exact_dedup(spark, sf001, odd, none, bits):
+@pytest.mark.parametrize("bits, digest", [(64, 64), (2, 64), (3, 1)])
+def test_exact_dedup(spark, sf001, odd, none, bits, digest):
     docs = table(spark, sf001, "documents").select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id > 1 or doc_id is null"))
-    got = dedup.exact_groups(docs, capacity=7, max_depth=6, key_bits=bits).collect()
+    got = dedup.exact_groups(docs, capacity=7, key_bits=bits, digest=digest).collect()
     groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
     assert len(got) == sum(map(len, groups.values()))
     by = defaultdict(list)
@@ -104,6 +104,33 @@ def test_exact_dedup(spark, sf001, odd, none, bits):
     assert dedup.exact_groups(none).count() == 0
 
 
+def test_exact_dedup_index(spark, sf001, odd):
+    """The directory splits what is overfull, however often, and owners hold whole buckets."""
+    docs = table(spark, sf001, "documents")
+    index = dedup.build(docs, capacity=5)
+    chains, cells = index.chains.collect(), {r.cell: r.bucket for r in index.cells.collect()}
+    keys = {r.key for r in chains}
+    assert len(keys) == len(brute_groups([(r.doc_id, r.text) for r in docs.collect()]))
+    for r in chains:
+        assert r.bucket == cells[(r.key & 0xFFFFFFFFFFFFFFFF) >> (64 - index.depth)]
+        depth, prefix = map(int, r.bucket.split(":"))
+        assert (r.key & 0xFFFFFFFFFFFFFFFF) >> (64 - depth) == prefix if depth else prefix == 0
+    held = Counter(r.bucket for r in chains)
+    assert max(held.values()) <= 5 and len({b.split(":")[0] for b in held}) > 1
+    for b in held:  # no bucket could be merged with its sibling
+        depth, prefix = map(int, b.split(":"))
+        both = sum((k & 0xFFFFFFFFFFFFFFFF) >> (64 - depth + 1) == prefix >> 1 for k in keys)
+        assert both > 5
+    files = Counter(r.bucket for r in index.chains.select("bucket", __import__("pyspark").sql.functions.input_file_name().alias("f")).distinct().collect())
+    assert set(files.values()) == {1}  # a bucket is in its owner's file alone
+    asked = docs.limit(20).select("doc_id", "text").union(spark.createDataFrame([(77, "not in there")], "doc_id long, text string"))
+    found = {r.doc_id: r.keep_id for r in index.find(asked).collect()}
+    keep = {r.doc_id: r.keep_id for r in dedup.exact_groups(docs).collect()}
+    assert found.pop(77) is None and found == {i: keep[i] for i in found} and len(found) == 20
+    many = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert dedup.build(many, capacity=2).depth > 11  # deeper than any fixed bound that small tables need
+
+
 def brute_secrets(text):
     text = text or ""
     out = []
@@ -294,32 +321,72 @@ def test_pivot_leaves_little():
     assert sorted(off)[54] < 0.002 and max(off) < 0.02
 
 
+def brute_best_fit(sizes, capacity, bins):
+    """Items one by one, in falling order, into the bin of the least room that is enough."""
+    room, out = [], []
+    for x in sizes:
+        fit = min(((left, b) for b, left in enumerate(room) if left >= x), default=None)
+        if fit is None:
+            if len(room) == bins or x > capacity:
+                return None
+            room.append(capacity)
+            fit = (capacity, len(room) - 1)
+        room[fit[1]] -= x
+        out.append(fit[1])
+    return out
+
+
 def test_sharding(spark, sf01, odd, none):
+    docs = table(spark, sf01, "documents").select("doc_id", "text")
+    total = sum(len((r.text or "").encode()) + 8 for r in docs.collect())
     big = spark.createDataFrame([(i, "same text " * 20) for i in range(3000)], "doc_id long, text string")
-    for docs, even in ((table(spark, sf01, "documents").select("doc_id", "text"), True), (odd.select("doc_id", "text"), False), (table(spark, sf01, "documents").select("doc_id", "text").union(big), True)):
-        got = shards.shard(docs).collect()
-        want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    share = (total + 3000 * 208) // 24
+    slight = spark.createDataFrame([(i, "b" * 192) for i in range(int(total // 23.2) // 200)], "doc_id long, text string")  # a hair over a share
+    for rows, cut in ((docs, 0), (odd.select("doc_id", "text"), None), (docs.union(big), 1), (docs.union(slight), 0)):
+        got = shards.shard(rows, chunk=100).collect()
+        want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows.collect())
         assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
-        load, slots, homes = Counter(), defaultdict(list), defaultdict(set)
+        load, slots, homes, bytes_ = Counter(), defaultdict(list), defaultdict(Counter), Counter()
         for r in got:
             assert 0 <= r.shard < 24 and r.law == "bytes" and r.grown_shard is None
             load[r.shard] += r["size"]
             slots[r.shard].append(r.slot)
-            homes[r.text_crc32, r["size"]].add(r.shard)
+            homes[r.text_crc32, r["size"]][r.shard] += 1
+            bytes_[r.text_crc32, r["size"]] += r["size"]
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        if even:
-            assert max(load.values()) <= 1.02 * sum(load.values()) / 24, load
-        assert sum(len(h) > 1 for h in homes.values()) <= 1  # only a group that exceeds a shard is cut
+        if cut is None:
+            continue
+        assert max(load.values()) <= 1.011 * sum(load.values()) / 24, load
+        assert sum(len(h) > 1 for h in homes.values()) == cut  # only a group that exceeds a shard is cut, into the fewest pieces
+        if cut:
+            assert max(len(h) for h in homes.values()) <= -(-3000 * 208 // (share // 208 * 208))
+        else:  # the shards are those of packing the groups one by one
+            sizes = sorted(bytes_.values(), reverse=True)
+            cap = next(c for c in range(max(sizes[0], -(-sum(sizes) // 24)), 10**9) if brute_best_fit(sizes, c, 24))
+            plain = Counter()
+            for x, b in zip(sizes, brute_best_fit(sizes, cap, 24)):
+                plain[b] += x
+            assert load == plain
     assert shards.shard(none).count() == 0
 
 
 def test_best_fit():
-    assert shards.best_fit([6, 5, 4, 3, 2], 10, 2) == [0, 1, 0, 1, 1]
-    assert shards.best_fit([9, 9, 9], 10, 2) is None
-    plan = shards.pack([7, 6, 5, 4, 3, 2, 2, 1], 3)
+    import random
+
+    draw = random.Random(1)
+    for _ in range(400):
+        sizes = sorted((draw.randrange(1, 40) for _ in range(draw.randrange(1, 60))), reverse=True)
+        capacity, bins = draw.randrange(20, 200), draw.randrange(1, 9)
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        got = shards.best_fit(classes, capacity, bins)
+        want = brute_best_fit(sizes, capacity, bins)
+        assert (got is None) == (want is None)
+        if got is not None:
+            flat = [b for k, first, end, b in got for _ in range(first, end)]
+            assert flat == want
     load = Counter()
-    for s, b in zip([7, 6, 5, 4, 3, 2, 2, 1], plan):
-        load[b] += s
+    for k, first, end, b in shards.pack([(7, 1), (6, 1), (5, 1), (4, 1), (3, 1), (2, 2), (1, 1)], 3):
+        load[b] += (7, 6, 5, 4, 3, 2, 1)[k] * (end - first)
     assert max(load.values()) == 10
 
 
