@@ -176,16 +176,21 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(nid, label): label is the smallest node of the component. edges: a, b (long).
 
-    Each round takes the smallest label among neighbours, then the label of that label; tables of each round are kept
-    in the shared folder, and nothing is collected but a count.
+    Each round takes the smallest label among neighbours, then the label of that label; every other round's table is
+    kept in the shared folder, and nothing is collected but whether labels changed.
     """
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("label")), "components")
-    while True:
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges", narrow=True)
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("label")), "components", narrow=True)
+
+    def turn(labels: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("nid")).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("nid") == F.col("a")).select("nid", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        step = labels.join(near, F.col("nid") == F.col("a")).select("nid", F.least("label", "m").alias("label"))
         jump = labels.select(F.col("nid").alias("j"), F.col("label").alias("to"))
-        step = stage(step.join(jump, F.col("label") == F.col("j")).select("nid", "was", F.least("label", "to").alias("label")), "components")
+        return step.join(jump, F.col("label") == F.col("j")).select("nid", F.least("label", "to").alias("label"))
+
+    while True:
+        step = turn(turn(labels)).join(labels.toDF("was_nid", "was"), F.col("nid") == F.col("was_nid")).select("nid", "was", "label")
+        step = stage(step, "components", narrow=True)
         if step.where("label != was").isEmpty():
             return step.select("nid", "label")
         labels = step.select("nid", "label")
@@ -307,28 +312,26 @@ def similar(docs: DataFrame, count: bool = True) -> tuple[DataFrame, DataFrame,
     nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
     sig = nodes.select("nid", "sig")
 
+    width = 2 * ROWS
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
+    banded = nodes.select("nid", "size", F.explode(bands).alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("nid").alias("first")).where("n > 1")
+    members = stage(banded.join(buckets, "bucket"), "jaccard-members", narrow=True)
+    # one text for each node of a bucket, fetched once; equal texts are combined before the shuffle
+    texts = read.groupBy("tk").agg(F.first("text").alias("text"))
+    texts = stage(members.select("nid").distinct().join(nodes.select("nid", "tk"), "nid").join(texts, "tk").select("nid", "text"), "jaccard-texts")
+
     def prune(pairs: DataFrame) -> DataFrame:
         one, two = sig.toDF("a", "sa"), sig.toDF("b", "sb")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long")
 
-    def texts_of(nids: DataFrame) -> DataFrame:
-        """One text for each of some nodes; equal texts are combined before the shuffle."""
-        texts = read.groupBy("tk").agg(F.first("text").alias("text"))
-        return nids.distinct().join(nodes.select("nid", "tk"), "nid").join(texts, "tk").select("nid", "text")
-
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "jaccard-pairs")
-        if pairs.isEmpty():
-            return pairs
-        texts = stage(texts_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))), "jaccard-texts")
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return stage(both.repartition("a").sortWithinPartitions("a").mapInArrow(_verify, "a long, b long"), "jaccard-links")
+        pairs = stage(pairs, "jaccard-pairs", narrow=True)
+        # the first nodes of large buckets are in many pairs: their join comes last, where AQE splits it, and its output
+        # is sorted by them, so that a task has the shingles of a once
+        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return stage(both.mapInArrow(_verify, "a long, b long"), "jaccard-links", narrow=True)
 
-    width = 2 * ROWS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
-    banded = nodes.select("nid", "size", F.explode(bands).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("nid").alias("first")).where("n > 1")
-    members = stage(banded.join(buckets, "bucket"), "jaccard-members")
     few = members.where(f"n <= {SMALL}").select("bucket", "nid")
     pairs = few.join(few.toDF("bucket", "other"), "bucket").where("nid < other").select(F.col("nid").alias("a"), F.col("other").alias("b"))
     many = members.where(f"n > {SMALL}")
@@ -337,7 +340,7 @@ def similar(docs: DataFrame, count: bool = True) -> tuple[DataFrame, DataFrame,
     labels = components(links)
 
     # members of large buckets that the first node did not bring into the bucket's largest class
-    named = stage(many.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")).select("bucket", "nid", "size", "label"), "jaccard-classes")
+    named = stage(many.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid")).select("bucket", "nid", "size", "label"), "jaccard-classes", narrow=True)
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("bucket", F.col("m.label").alias("main"))
     # sizes of a pair at 0.8 are in the same or in neighbouring steps of factor 1.25
@@ -345,18 +348,17 @@ def similar(docs: DataFrame, count: bool = True) -> tuple[DataFrame, DataFrame,
     open_ = named.join(main, "bucket").withColumn("step", step)
     outside = open_.where("label != main").withColumn("near", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
     inside = open_.withColumn("near", F.col("step")).withColumn("main", F.col("label") == F.col("main"))
-    full = stage(texts_of(open_.select("nid")).mapInArrow(_hashed, "nid long, sig binary, hashes binary"), "jaccard-hashes")
+    full = stage(texts.join(open_.select("nid").distinct(), "nid").mapInArrow(_hashed, "nid long, sig binary, hashes binary"), "jaccard-hashes")
     more = verify(_apart(outside.select("bucket", "near", "nid", "size", "label"), inside.select("bucket", "near", "nid", "size", "label", "main"), full))
     if not more.isEmpty():
-        links = stage(links.union(more).distinct(), "jaccard-links")
+        links = stage(links.union(more).distinct(), "jaccard-links", narrow=True)
         labels = components(links)
     rows = signed.select("doc_id", "tk", "node").join(nodes.select("node", "nid"), "node", "left").select("doc_id", "tk", "nid")
     degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("n_links"))
     if count:
         large = labels.join(many.select("nid").distinct(), "nid").select("label").distinct()
-        inner = stage(labels.join(large, "label").select("nid", "label"), "jaccard-inner")
-        counted = _degrees(inner, stage(texts_of(inner.select("nid")), "jaccard-inner-texts"))
-        degree = stage(degree.join(inner, "nid", "left_anti").union(counted), "jaccard-degrees")
+        inner = stage(labels.join(large, "label").select("nid", "label"), "jaccard-inner", narrow=True)
+        degree = stage(degree.join(inner, "nid", "left_anti").union(_degrees(inner, texts)), "jaccard-degrees", narrow=True)
     return rows, degree, labels
 
 
@@ -370,6 +372,7 @@ def classes(docs: DataFrame, count: bool = True) -> DataFrame:
     label = F.when(F.col("nid").isNotNull(), F.coalesce("label", "nid"))
     rows = stage(rows.select("doc_id", "tk", label.alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "jaccard-labelled")
     first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("m"), F.count("*").alias("class_size"))
+    first = stage(first, "jaccard-first", narrow=True)  # so that the join has an exchange of its own, which AQE can split
     out = rows.join(first, "label", "left")
     stays = F.col("m").isNull() | (F.col("m.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m.tk") == F.col("tk")))
     return out.select("doc_id", "tk", F.when(F.col("m").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id")).alias("class_id"), "n_links", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), stays.alias("stays"))
