@@ -169,9 +169,12 @@ def fit_languages(docs: DataFrame, sample: int = 2500) -> LanguageModel:
     """Learn from text and lang of rows outside the held-out fold; `sample` bounds the rows whose n-grams reach the
     driver: those of the smallest hash of each language in turn."""
     labelled = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # ranks beyond the bound are cut before the shuffle
-    chosen = labelled.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h")).withColumn("turn", turn).where(F.col("turn") <= sample)
-    chosen = chosen.orderBy("turn", "h", "doc_id", "lang").limit(sample).select("doc_id", "lang", "h").distinct()
+    # rows whose hash is small enough to be among the first: about twice as many as can be, whatever a language's size
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)  # a row a language, `sample` at most
+    share = F.pmod(F.shiftrightunsigned("h", 20), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h")).join(F.broadcast(sizes), "lang").where(share * F.col("n") < 2 * sample + 100)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(share, "h", "doc_id"))
+    chosen = chosen.withColumn("turn", turn).where(F.col("turn") <= sample).orderBy("turn", "h", "doc_id", "lang").limit(sample).select("doc_id", "lang", "h").distinct()
     texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most `sample` rows
 
     @F.pandas_udf("g binary, c binary")
