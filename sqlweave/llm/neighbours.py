@@ -12,8 +12,8 @@
 Every row is indexed. Vectors travel as bytes with a scale while the graph is built and searched; the answers' order and
 scores come from the original vectors.
 
-Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows of
-another length than the most common one; ties go to the smaller vec_id; rows that repeat a vec_id count as separate
+Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part; a vector that is
+shorter than the longest counts as having zeros at its end; ties go to the smaller vec_id; rows that repeat a vec_id count as separate
 candidates, but a query's own id is never its neighbour; a query with fewer than 20 candidates gets them all; an empty
 table gives an empty result; only vec_id and embedding are read.
 """
@@ -138,7 +138,7 @@ def _local_join(pdf: pd.DataFrame):
 
 def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """(node, other, score): the neighbour graph of nodes (nid, vec)."""
-    graph = stage(_best(_block_pairs(nodes, n, width, degree, DRAWS), degree), "ann-graph")
+    graph = stage(_best(_block_pairs(nodes, n, width, degree, DRAWS), degree), "ann-graph", narrow=True)
     offers = (F.col("fresh") & (F.col("r") <= 2 * JOIN)) | (F.col("r") <= JOIN)
     for turn in range(rounds):
         ahead = graph.where(offers).select(F.col("node").alias("centre"), F.col("other").alias("nid"), "fresh")
@@ -150,7 +150,7 @@ def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, roun
         found = met.repartition("centre").sortWithinPartitions("centre").mapInPandas(lambda it: _groups(it, ["centre"], _local_join), SCHEMA)
         # entries that took part are old from now on
         kept = graph.select("node", "other", "score", (F.col("fresh") & ~offers).alias("fresh"))
-        graph = stage(_best(kept.unionByName(found), degree), "ann-graph")
+        graph = stage(_best(kept.unionByName(found), degree), "ann-graph", narrow=True)
         if graph.where("fresh").count() < 0.02 * degree * n:
             break
     return graph.select("node", "other", "score")
@@ -163,15 +163,15 @@ def _exact(pdf_rows: pd.Series, other: pd.Series) -> pd.Series:
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score for rows whose vec_id is divisible by `every`."""
     rows = valid(vectors)
-    width = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width["w"] if width else 1
-    rows = stage(rows.where(F.size("embedding") == width).withColumn("vk", F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"))), "ann-rows")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    padded = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("embedding")))
+    rows = stage(rows.withColumn("embedding", padded).withColumn("vk", F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"))), "ann-rows")
     distinct = stage(rows.groupBy("vk").agg(F.first("embedding").alias("embedding")).withColumn("nid", F.monotonically_increasing_id()), "ann-distinct")
     n = distinct.count()
     nodes = stage(distinct.select("nid", F.pandas_udf(_pack, "binary")("embedding").alias("vec")), "ann-nodes")
     graph = build_graph(nodes, n, width)
 
-    member = stage(rows.select("vec_id", "vk").join(distinct.select("vk", "nid"), "vk").select("vec_id", "nid"), "ann-members")
+    member = stage(rows.select("vec_id", "vk").join(distinct.select("vk", "nid"), "vk").select("vec_id", "nid"), "ann-members", narrow=True)
     asked = member.where(F.col("vec_id") % every == 0).select("nid").distinct()  # equal queries search once
     qvec = stage(asked.join(nodes, "nid").select(F.col("nid").alias("q"), F.col("vec").alias("qv")), "ann-queries")
 
@@ -189,7 +189,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     edges = graph.select(F.col("node").alias("nid"), F.col("other"), F.col("score").alias("edge"))
     start = qvec.select("q", F.col("q").alias("nid")).join(nodes, "nid")
     start = start.join(qvec, "q").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
-    beam = stage(settled(start), "ann-beam")
+    beam = stage(settled(start), "ann-beam", narrow=True)
     while True:  # ends: a beam's worst score only rises, and a node is expanded once while it is in the beam
         go = beam.where("go").select("q", "nid")
         if go.isEmpty():
@@ -198,11 +198,11 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
         # nodes that the beam has, and double finds, are left out before vectors are fetched
         new = found.unionByName(beam.select("q", "nid", F.lit(True).alias("old"))).repartition("q").groupBy("q", "nid").agg(F.max("old").alias("old")).where("not old").drop("old")
         new = new.join(qvec, "q").join(nodes, "nid").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
-        beam = stage(settled(beam.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(new)), "ann-beam")
+        beam = stage(settled(beam.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(new)), "ann-beam", narrow=True)
 
     exact = F.pandas_udf(_exact, "double")
     e1, e2 = distinct.select(F.col("nid").alias("q"), F.col("embedding").alias("e1")), distinct.select("nid", F.col("embedding").alias("e2"))
-    pairs = stage(beam.select("q", "nid").join(e1, "q").join(e2, "nid").select("q", "nid", exact("e1", "e2").alias("score")), "ann-pairs")
+    pairs = stage(beam.select("q", "nid").join(e1, "q").join(e2, "nid").select("q", "nid", exact("e1", "e2").alias("score")), "ann-pairs", narrow=True)
     # of each node the smallest top + 1 ids suffice: one may be the query itself
     w = Window.partitionBy("nid").orderBy("vec_id")
     few = member.groupBy("nid").agg(F.count("*").alias("c"))
@@ -210,7 +210,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     part = F.spark_partition_id()
     cut = first.where("large").withColumn("r", F.row_number().over(Window.partitionBy("nid", part).orderBy("vec_id"))).where(F.col("r") <= top + 1).drop("r")
     cut = cut.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1).select("vec_id", "nid")
-    heads = stage(first.where("large is null").select("vec_id", "nid").unionByName(cut), "ann-heads")
+    heads = stage(first.where("large is null").select("vec_id", "nid").unionByName(cut), "ann-heads", narrow=True)
     answers = pairs.join(heads, "nid").select("q", "vec_id", "score")
     # as many as any query of this node can need
     answers = answers.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top + 1).drop("r")

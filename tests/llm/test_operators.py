@@ -50,10 +50,11 @@ def test_bpe_is_the_library(spark, sf01, odd, none):
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert got[i].n_tokens == len(ids) or i in (1, None)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    for i in range(0, 0x110000, 64):  # every code point, alone and inside a word, whatever version of Unicode it came with
-        points = [chr(k) for k in range(i, i + 64) if not 0xD800 <= k < 0xE000]
-        text = " ".join(f"{x} a{x}b {x.lower()}" for x in points)
-        assert c.encode(text) == t.encode(text, add_special_tokens=False).ids, hex(i)
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]  # every code point, alone and inside a word, whatever version of Unicode it came with
+    sweep = [" ".join(f"{x} a{x}b {x.lower()}" for x in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for text, (n, said, shown) in zip(sweep, c.round_trips(sweep)):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert said == " ".join(map(str, ids)) and n == len(ids) and shown == t.decode(ids, skip_special_tokens=False), text[:20]
     back = odd.where("doc_id = 6").select(bpe.encode("text", path).alias("i")).select(bpe.decode("i", path).alias("t")).first().t
     assert back.startswith("n") and bpe.bpe_digests(none, path).count() == 0
 
@@ -77,6 +78,9 @@ def test_merges_are_leftmost_lowest():
                 break
             want[best[1] : best[1] + 2] = [best[0] & 0xFFFF]
         assert bpe.merge(list(ids), ranks) == want
+        if 2 <= len(ids) <= 33:
+            size = 8 if len(ids) <= 9 else 16 if len(ids) <= 17 else 32
+            assert [i for i in bpe.Forest(ranks).merge([list(ids), ids[:2]], size)[0].tolist() if i >= 0] == want
 
 
 def brute_groups(rows):
@@ -533,6 +537,24 @@ def test_neighbours(spark, sf001):
     assert [r.vec_id for r in small if r.query_id == 0] and len(small) == 2
 
 
+def test_neighbours_odd_tables(spark):
+    """Vectors of several lengths, repeated ids and vectors, columns of other names, and every vector the same."""
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)][: 2 + i % 2], "k", 0.5) for i in range(60)] + [(0, [9.0, 9.0, 9.0], "k", 0.1), (3, [1.0], "k", 0.2), (4, [], "k", 0.3), (None, [1.0, 1.0], "k", 0.1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, nid string, score double")
+    keep = [(i, [*v, 0.0, 0.0, 0.0][:3]) for i, v, *_ in rows if i is not None and any(v)]
+    got = defaultdict(list)
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for q in (20, 40):
+        own = next(v for i, v in keep if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in keep if i != q)[:20]
+        assert got[q] == [(i, round(-s, 9)) for s, i in want]
+    assert {0, 20, 40} <= set(got)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in neighbours.search(same).orderBy("query_id", "rank").collect()]
+    assert got == [(q, i) for q in (0, 20, 40) for i in [k for k in range(50) if k != q][:20]]
+
+
 def test_neighbours_search_goes_on(spark, monkeypatch):
     """On a ring where a node only knows the next four, the far side is eight rounds away."""
     import numpy as np
