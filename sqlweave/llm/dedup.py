@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import discard, stage, table
 
 #: The deleted characters: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -79,7 +79,8 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
         if pairs.isEmpty():
             break
         rest = buckets.withColumn("up", up).join(pairs.select("up"), "up", "left_anti").drop("up")
-        buckets = stage(rest.unionByName(pairs.select(F.lit(d).alias("depth"), F.col("up").alias("prefix"), F.col("both").alias("n"))), "dedup-buckets", narrow=True)
+        last, buckets = buckets, stage(rest.unionByName(pairs.select(F.lit(d).alias("depth"), F.col("up").alias("prefix"), F.col("both").alias("n"))), "dedup-buckets", narrow=True)
+        discard(last, pairs)
     # back to the cells: each falls into the bucket whose prefix its leading bits are
     depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # 65 at most
     own = cells.select("cell", F.explode(F.array(*map(F.lit, depths)) if depths else F.array(F.lit(0))).alias("depth"))

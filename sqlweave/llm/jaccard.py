@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import discard, stage, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -191,9 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         step = turn(turn(labels)).join(labels.toDF("was_nid", "was"), F.col("nid") == F.col("was_nid")).select("nid", "was", "label")
         step = stage(step, "components", narrow=True)
+        discard(labels)
         if step.where("label != was").isEmpty():
             return step.select("nid", "label")
         labels = step.select("nid", "label")
+        labels._stage_path = step._stage_path
 
 
 def _apart(outside: DataFrame, inside: DataFrame, full: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def _apart(outside: DataFrame, inside: DataFrame, full: DataFrame) -> DataFrame:
     keys = ["bucket", "near"]
     out_n = outside.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("po"))
     in_n = inside.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("pi"))
-    parts = out_n.join(in_n, keys)
+    parts = stage(out_n.join(in_n, keys), "jaccard-parts", narrow=True)  # so that the joins below have exchanges that AQE can split
     own = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = outside.join(parts, keys).select(*keys, own("po").alias("o"), every("pi").alias("i"), "nid", "size", "label").join(full, "nid")

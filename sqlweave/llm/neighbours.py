@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import discard, stage, table
 
 EVERY, TOP = 20, 20
 DEGREE, JOIN, ROUNDS = 48, 24, 7
@@ -150,7 +150,8 @@ def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, roun
         found = met.repartition("centre").sortWithinPartitions("centre").mapInPandas(lambda it: _groups(it, ["centre"], _local_join), SCHEMA)
         # entries that took part are old from now on
         kept = graph.select("node", "other", "score", (F.col("fresh") & ~offers).alias("fresh"))
-        graph = stage(_best(kept.unionByName(found), degree), "ann-graph", narrow=True)
+        last, graph = graph, stage(_best(kept.unionByName(found), degree), "ann-graph", narrow=True)
+        discard(last)
         if graph.where("fresh").count() < 0.02 * degree * n:
             break
     return graph.select("node", "other", "score")
@@ -198,7 +199,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
         # nodes that the beam has, and double finds, are left out before vectors are fetched
         new = found.unionByName(beam.select("q", "nid", F.lit(True).alias("old"))).repartition("q").groupBy("q", "nid").agg(F.max("old").alias("old")).where("not old").drop("old")
         new = new.join(qvec, "q").join(nodes, "nid").select("q", "nid", near("qv", "vec").alias("score"), F.lit(False).alias("done"))
-        beam = stage(settled(beam.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(new)), "ann-beam", narrow=True)
+        last, beam = beam, stage(settled(beam.select("q", "nid", "score", (F.col("done") | F.col("go")).alias("done")).unionByName(new)), "ann-beam", narrow=True)
+        discard(last)
 
     exact = F.pandas_udf(_exact, "double")
     e1, e2 = distinct.select(F.col("nid").alias("q"), F.col("embedding").alias("e1")), distinct.select("nid", F.col("embedding").alias("e2"))

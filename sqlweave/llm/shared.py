@@ -31,7 +31,18 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sqlweave/{name}-{uuid.uuid4().hex}"
     (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stage() wrote for tables that nothing reads any more: a loop's last round, once the next is written."""
+    for t in tables:
+        if path := getattr(t, "_stage_path", None):
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
