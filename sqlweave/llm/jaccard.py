@@ -332,7 +332,7 @@ def similar(docs: DataFrame, count: bool = True) -> tuple[DataFrame, DataFrame,
         # the first nodes of large buckets are in many pairs: their join comes last, where AQE splits it, and its output
         # is sorted by them, so that a task has the shingles of a once
         both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return stage(both.mapInArrow(_verify, "a long, b long"), "jaccard-links", narrow=True)
+        return stage(both.mapInArrow(_verify, "a long, b long"), "jaccard-links")
 
     few = members.where(f"n <= {SMALL}").select("bucket", "nid")
     pairs = few.join(few.toDF("bucket", "other"), "bucket").where("nid < other").select(F.col("nid").alias("a"), F.col("other").alias("b"))

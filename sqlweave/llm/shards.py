@@ -130,7 +130,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, chunk: int = CHUNK) -> DataFram
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("group"))
-    rows = stage(rows, "shard-rows", narrow=True)
+    rows = stage(rows, "shard-rows")
     groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("each")), "shard-groups", narrow=True)
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     share = max(total // shards, 1)

@@ -26,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back; a lost executor costs no recomputation.
 
-    narrow: rows of a few numbers, no texts. They are written by FILES tasks a core of the cluster at most, so that small
-    tables between steps do not become a file for each shuffle partition."""
+    narrow: rows of a few numbers that come out of a shuffle of such rows, so that no task of this step reads texts. They
+    are written by FILES tasks a core of the cluster at most, and small tables between steps do not become a file for each
+    shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sqlweave/{name}-{uuid.uuid4().hex}"
     (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
