@@ -32,7 +32,7 @@ from .shared import discard, stage, table
 EVERY, TOP = 20, 20
 DEGREE, JOIN, ROUNDS = 48, 24, 7
 BLOCK, DRAWS = 256, 4
-BEAM, EXPAND = 128, 40
+BEAM, EXPAND, MEASURED = 128, 40, 52_000  # the beam of tables of up to MEASURED nodes
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -161,14 +161,20 @@ def _exact(pdf_rows: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([float(np.dot(np.asarray(a, float), np.asarray(b, float))) for a, b in zip(pdf_rows, other)])
 
 
-def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score for rows whose vec_id is divisible by `every`."""
+def beam_of(n: int) -> int:
+    """Nodes of a beam: a table five times as large needs about twice as many for the same recall, so the square root."""
+    return int(np.ceil(BEAM * max(1.0, n / MEASURED) ** 0.5))
+
+
+def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, beam_size: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for rows whose vec_id is divisible by `every`. beam_size: else by the table's size."""
     rows = valid(vectors)
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     padded = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("embedding")))
     rows = stage(rows.withColumn("embedding", padded).withColumn("vk", F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"))), "ann-rows")
     distinct = stage(rows.groupBy("vk").agg(F.first("embedding").alias("embedding")).withColumn("nid", F.monotonically_increasing_id()), "ann-distinct")
     n = distinct.count()
+    most = beam_size or beam_of(n)
     nodes = stage(distinct.select("nid", F.pandas_udf(_pack, "binary")("embedding").alias("vec")), "ann-nodes")
     graph = build_graph(nodes, n, width)
 
@@ -181,10 +187,10 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
         return pd.Series((_matrix(a.tolist()) * _matrix(b.tolist())).sum(1) if len(a) else np.zeros(0, np.float32))
 
     def settled(rows: DataFrame) -> DataFrame:
-        """The BEAM best nodes of each query; the EXPAND best that were not expanded yet are to go."""
+        """The `most` best nodes of each query; the EXPAND best that were not expanded yet are to go."""
         rows = rows.repartition("q").groupBy("q", "nid").agg(F.max("score").alias("score"), F.max("done").alias("done"))
         best, todo = Window.partitionBy("q").orderBy(F.desc("score"), "nid"), Window.partitionBy("q", "done").orderBy(F.desc("score"), "nid")
-        rows = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).withColumn("t", F.row_number().over(todo))
+        rows = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).withColumn("t", F.row_number().over(todo))
         return rows.select("q", "nid", "score", "done", ((~F.col("done")) & (F.col("t") <= EXPAND)).alias("go"))
 
     edges = graph.select(F.col("node").alias("nid"), F.col("other"), F.col("score").alias("edge"))

@@ -537,6 +537,10 @@ def test_neighbours(spark, sf001):
     assert [r.vec_id for r in small if r.query_id == 0] and len(small) == 2
 
 
+def test_beam_grows():
+    assert [neighbours.beam_of(n) for n in (0, 10_000, 52_000, 208_000, 5_200_000)] == [128, 128, 128, 256, 1280]
+
+
 def test_neighbours_odd_tables(spark):
     """Vectors of several lengths, repeated ids and vectors, columns of other names, and every vector the same."""
     rows = [(i, [float(i % 7), 1.0, float(i % 3)][: 2 + i % 2], "k", 0.5) for i in range(60)] + [(0, [9.0, 9.0, 9.0], "k", 0.1), (3, [1.0], "k", 0.2), (4, [], "k", 0.3), (None, [1.0, 1.0], "k", 0.1)]
