@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,11 +33,20 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sqlweave/{name}-{uuid.uuid4().hex}"
     (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    if not narrow:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM finds that their plan is unused. It is asked to look after each wide step, so
+    that a chain of them does not keep the shuffles of all."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what stage() wrote for tables that nothing reads any more: a loop's last round, once the next is written."""
     for t in tables:
