@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, stage, table
+from .shared import discard, stage, table, whole
 
 #: The deleted characters: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -137,10 +137,10 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     that a row of a repeated doc_id and another text is not touched; of wholly equal (doc_id, text) rows one stays."""
     own = lambda norm: F.concat_ws("|", norm, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     g = exact_groups(docs, **options).where("kept").select(own(F.col("text_sha256")).alias("_own"))
-    rows = docs.withColumn("_own", own(F.sha2(normalised(), 256))).join(g, "_own", "left_semi")
+    rows = docs.select(whole(docs), own(F.sha2(normalised(), 256)).alias("_own")).join(g, "_own", "left_semi")
     # rows of one doc_id and normalised text: the longest raw text stays; the window reuses the join's partitioning
-    w = Window.partitionBy("_own").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))), "text")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
+    w = Window.partitionBy("_own").orderBy(F.desc(F.length(F.coalesce("row.text", F.lit("")))), "row.text")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, stage, table
+from .shared import discard, stage, table, whole
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -384,9 +384,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that represent their class; of wholly equal (doc_id, text) rows with words one stays."""
     own = lambda tk: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tk)
     kept = classes(docs, count=False).where("stays").groupBy(own(F.col("tk")).alias("_own")).agg(F.count("*").alias("_n"), F.max((F.col("class_size") > 1) | (F.col("n_links") > 0)).alias("_g"))
-    rows = docs.withColumn("_own", own(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(kept, "_own")
+    rows = docs.select(whole(docs), own(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_own")).join(kept, "_own")
     place = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
-    return rows.withColumn("_i", place).where("not _g or _i = 1").select(*docs.columns)
+    return rows.withColumn("_i", place).where("not _g or _i = 1").select("row.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import stage, table, whole
 
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, FAN, HEAVY = 4096, 64, 100
@@ -162,11 +162,11 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     m = mix(docs, seed)
     m = m.withColumn("_own", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest").cast("string"), F.xxhash64("source", F.col("source").isNull()).cast("string")))
     total = m.groupBy("_own").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n")).where("_c > 0")
-    rows = docs.withColumn("_own", own).join(total, "_own")
+    rows = docs.select(whole(docs), own.alias("_own")).join(total, "_own")
     place = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
     share = F.floor(F.col("_c") / F.col("_n")) + (F.col("_i") <= F.col("_c") % F.col("_n")).cast("long")
     rows = rows.withColumn("_i", place).withColumn("_k", share.cast("int")).where("_k > 0")
-    return rows.withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*docs.columns)
+    return rows.withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_k")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
