@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlweave.llm import bpe, dedup, jaccard, langid, mixing
-from sqlweave.llm.shared import stage, table
+from sqlweave.llm.shared import stage, table, whole
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; `und` ones (null text, no letter) go, and all of them where no row has a
     language to learn from. Repeated rows share one fate; an empty table stays empty."""
-    scored = langid.predict(docs, langid.fit_languages(docs))
-    return scored.where(F.col("_lang.lang_pred") != "und").select(*docs.columns)
+    scored = langid.predict(docs.select(whole(docs), "text"), langid.fit_languages(docs))
+    return scored.where(F.col("_lang.lang_pred") != "und").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
