@@ -151,7 +151,7 @@ class Forest:
 class BpeCodec:
     """A vocabulary file of the tokenizers library (byte letters, word-end suffix, no decoder)."""
 
-    def __init__(self, path: str, chunks: int = 100_000, words: int = 200_000):
+    def __init__(self, path: str, chunks: int = 60_000, words: int = 120_000):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)

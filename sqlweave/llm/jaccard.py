@@ -59,7 +59,7 @@ def jaccard(a: set, b: set) -> float:
 class Signer:
     """MinHash over hashed words: a shingle's hash mixes the hashes of its words by position."""
 
-    def __init__(self, cached_words: int = 200_000):
+    def __init__(self, cached_words: int = 100_000):
         draw = np.random.default_rng(42)
         self.a = draw.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.b = draw.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
